@@ -45,6 +45,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return latest(_read(spark, d, "symbols"), "id", "updated_at", F.when(F.col("source_code").isNotNull(), parts).alias("n")).where("n > 1").select("id")
 
 
+def p4_lines(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm.credentials import find_credentials
+
+    return find_credentials(_read(spark, d, "symbols"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_lines(spark, d).select("id", "line_no")
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm.credentials import redacted
+
+    return redacted(_read(spark, d, "symbols"))
+
+
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     from graphloom.llm.docpairs import doc_pairs
 
@@ -61,7 +77,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pieces, p5_found, p5_pairs)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pieces, p4_found, p4_lines, p4_redacted, p5_found, p5_pairs)}
 
 
 _CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rn FROM symbols) WHERE rn = 1)"
