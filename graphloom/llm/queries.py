@@ -76,6 +76,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return doc_pairs(_read(spark, d, "symbols")).where("from_id = id").select("id")
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm.neardup import near_duplicates
+
+    return near_duplicates(_read(spark, d, "symbols"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs(spark, d).select("id_a", "id_b")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     from graphloom.llm.bpe import encode_corpus
 
@@ -83,7 +93,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pieces, p4_found, p4_lines, p4_redacted, p5_found, p5_pairs, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pieces, p4_found, p4_lines, p4_redacted, p5_found, p5_pairs, p6_found, p6_pairs, p7_ids)}
 
 
 _CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rn FROM symbols) WHERE rn = 1)"
