@@ -92,8 +92,20 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(_read(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm.spans import shared_spans
+
+    return shared_spans(_read(spark, d, "documents"))
+
+
+def p9_share(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm.spans import shared_share
+
+    return shared_share(_read(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pieces, p4_found, p4_lines, p4_redacted, p5_found, p5_pairs, p6_found, p6_pairs, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pieces, p4_found, p4_lines, p4_redacted, p5_found, p5_pairs, p6_found, p6_pairs, p7_ids, p9_found, p9_share)}
 
 
 _CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rn FROM symbols) WHERE rn = 1)"
