@@ -26,6 +26,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_reasons(spark, d).where("reason IS NOT NULL").select("path")
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm.knn import nearest
+
+    return nearest(_read(spark, d, "symbol_embeddings"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm.knn import neighbour_pairs
+
+    return neighbour_pairs(_read(spark, d, "symbol_embeddings"))
+
+
 def _code(spark: SparkSession, d: str, least: int) -> DataFrame:
     """Current symbols whose code has more than ``least`` characters; only their texts are shuffled."""
     long = F.when(F.length("source_code") > least, F.col("source_code"))
@@ -92,6 +104,26 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(_read(spark, d, "documents"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm.bpe import count_tokens
+    from graphloom.storage import cut
+
+    return cut(count_tokens(_read(spark, d, "documents")), "sizes")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm.packing import pack
+
+    return pack(_sizes(spark, d))
+
+
+def p8_certificate(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.llm.packing import certificate, pack
+
+    sizes = _sizes(spark, d)
+    return certificate(sizes, pack(sizes))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     from graphloom.llm.spans import shared_spans
 
@@ -105,7 +137,7 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_pieces, p4_found, p4_lines, p4_redacted, p5_found, p5_pairs, p6_found, p6_pairs, p7_ids, p9_found, p9_share)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_lines, p4_redacted, p5_found, p5_pairs, p6_found, p6_pairs, p7_ids, p8_containers, p8_certificate, p9_found, p9_share)}
 
 
 _CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rn FROM symbols) WHERE rn = 1)"
