@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.versions import latest
+from graphloom.storage import cut
 
 # Directories and names that package managers, compilers and generators use.
 VENDOR_DIRS = r"(^|/)(node_modules|bower_components|jspm_packages|vendor|third[_-]?party|3rd[_-]?party|3rdparty|thirdparty|external|externals|vendored|_vendor|_vendored|site-packages|dist-packages|\.?venv|virtualenv|\.pio/libdeps|libdeps|Pods|Carthage|\.yarn|\.cargo/registry|pkg/mod|\.gradle|\.m2)/"
@@ -66,8 +67,8 @@ def merkle(files: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(dir, repo, n_files, n_chars, digest) of every directory, from files with path, content and n_chars.
 
     Bottom-up, one aggregation a level: the digest of a directory is the sum (modulo nothing, in decimals) of hashes
-    of its children's names and digests, so no directory's children are ever collected in one place. Null contents
-    count as one file without a content and make the digest null.
+    of its children's names and digests, so no directory's children are ever collected in one place. Each level is
+    a written table, which keeps the plan of the next one small. A null content makes the digest null.
     """
     parts = F.split("path", "/")
     leaves = files.select(parts.alias("p"), F.size(parts).alias("depth"), "content", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
@@ -82,7 +83,7 @@ def merkle(files: DataFrame, max_depth: int | None = None) -> DataFrame:
         up = here.select(F.slice("p", 1, d - 1).alias("p"), F.element_at("p", d).alias("name"), "digest", "n_files", "n_chars")
         h = lambda salt: F.sum(F.xxhash64("name", "digest", F.lit(salt)).cast("decimal(20,0)")).cast("string")
         level = up.groupBy("p").agg(F.when(F.count("digest") == F.count("*"), F.concat_ws(":", h(1), h(2))).alias("digest"), F.sum("n_files").alias("n_files"), F.sum("n_chars").alias("n_chars"))
-        level = level.withColumn("depth", F.lit(d - 1))
+        level = cut(level.withColumn("depth", F.lit(d - 1)), "merkle")
         out.append(level.select(F.array_join("p", "/").alias("dir"), F.element_at("p", 1).alias("repo"), "n_files", "n_chars", "digest"))
     if not out:
         return leaf.select(F.lit("").alias("dir"), F.lit("").alias("repo"), "n_files", "n_chars", "digest").limit(0)
@@ -112,8 +113,6 @@ def classify(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     current = latest(files, "path", "parsed_at", F.col("size"), F.col("line_count"))
     rows = current.join(layout(symbols), "path", "left")
-    from graphloom.storage import cut
-
     rows = cut(rows, "layout")
     depth = rows.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
     trees = shared_trees(rows.select("path", "content", "n_chars"), max_depth=depth)
