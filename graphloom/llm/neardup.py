@@ -1,7 +1,7 @@
 """Problem 6: near-duplicate records by a size-aware heavy-light set similarity join.
 
-A record is the set of its shingles of consecutive tokens. Shingles have one global order: rare ones first, by hash,
-then the frequent ones by frequency. Two sets A, B with |A∩B| / |A∪B| >= t have
+A record is the set of its shingles of consecutive tokens. Shingles have one global order: by the number of all
+shingles in their hash bucket, so rare ones come first, then by hash. Two sets A, B with |A∩B| / |A∪B| >= t have
 
 * one of the first  p1(A) = |A| - ceil(t|A|) + 1 shingles of each in common, and
 * two of the first  p2(A) = |A| - ceil(t|A|) + 2 shingles of each in common (if A has as many that must be shared).
@@ -9,7 +9,7 @@ then the frequent ones by frequency. Two sets A, B with |A∩B| / |A∪B| >= t h
 Light (small) sets enumerate the fixed-size subsets - the pairs - of their first p2 shingles and meet on equal pairs.
 Heavy (large) sets would have too many, so they scan inverted lists: they meet all other sets on single shingles of the
 first p1. Where light ends and heavy begins is set by the cost of either, computed from all sets. Sets that are equal
-are one class from the start; candidates pass a bound on a parity sketch before the sets themselves are compared.
+are one class (a 64-bit hash of the set) from the start, and the sets of all candidates are compared exactly.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from graphloom.operators.versions import latest
 from graphloom.storage import cut
 
 TOKEN = re.compile(r"[A-Za-z0-9_]+")
-WORDS = 4  # 64-bit words of the parity sketch
 
 
 def _stable_hash():  # noqa: ANN202
@@ -87,129 +86,125 @@ def shingle_sets(rows: DataFrame, key: str, text: str, width: int = 3, least: in
     return rows.select(*rest, text).mapInArrow(run, schema)
 
 
-def classes(sets: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(cid, size, shingles) of each distinct set, and (key, cid); ``cid`` is a hash of 128 bits as text."""
-    sets = sets.withColumn("cid", F.concat_ws(":", F.hex(F.xxhash64("shingles")), F.hex(F.xxhash64("shingles", F.lit(11)))))
-    return sets.groupBy("cid").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")), sets.select(key, "cid")
+def bucket_counts(sets: DataFrame, log2: int = 20):  # noqa: ANN201
+    """How many shingles fall into each of 2^``log2`` hash buckets, over all sets: one array of fixed size.
 
+    Each partition sends its counts in slices, which are summed slice by slice; only the sum reaches the driver.
+    """
+    import numpy as np
 
-def frequent(distinct: DataFrame, share: int = 50_000) -> dict[int, int]:
-    """The shingles that make up at least one in ``share`` of all occurrences, with their number.
+    n, slices = 1 << log2, 64
+    step = n // slices
 
-    By that definition there are ``share`` of them at most, whatever the data, so the driver can hold them.
-    """
-    total = distinct.agg(F.sum("size")).first()[0] or 0
-    least = max(8, math.ceil(total / share))
-    rows = distinct.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= least)
-    return {r["s"]: r["count"] for r in rows.toLocalIterator()}
+    def count(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
 
+        seen = np.zeros(n, dtype=np.int64)
+        for batch in batches:
+            seen += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - log2), minlength=n)
+        for i in range(slices):
+            part = seen[i * step : (i + 1) * step]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.minimum(part, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["slice", "counts"])
+
+    def add(key, pdf):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
 
-def boundary(distinct: DataFrame, threshold: float, hot: dict[int, int]) -> int:
+        whole = sum(np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(whole, 2**31 - 1).astype(np.int32).tobytes()]})
+
+    out = np.zeros(n, dtype=np.int32)
+    for r in sets.select("shingles").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():
+        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["counts"], dtype=np.int32)
+    return out
+
+
+def boundary(sets: DataFrame, threshold: float) -> int:
     """The size up to which enumerating pairs costs less than scanning inverted lists.
 
     One set of size n emits C(p2, 2) pairs or p1 postings; a posting meets as many others as its list is long. The
-    mean length of the lists that prefixes hit is bounded by occurrences over distinct rare shingles, and measured.
+    mean length of the lists is measured on the first shingle by hash of every set.
     """
     prefix = lambda n, k: n - math.ceil(threshold * n) + k
-    row = distinct.agg(F.sum("size").alias("n"), F.approx_count_distinct(F.col("shingles")[0]).alias("d"), F.count("*").alias("c")).first()
-    if not row["n"]:
-        return 0
-    mean = max(1.0, row["c"] / max(1, row["d"]))  # sets whose first shingle by hash is the same
+    row = sets.agg(F.approx_count_distinct(F.col("shingles")[0]).alias("lists"), F.approx_count_distinct("cid").alias("sets")).first()
+    mean = max(1.0, row["sets"] / max(1, row["lists"]))
     best = 0
     for n in range(1, 4096):
-        pairs = math.comb(max(0, prefix(n, 2)), 2)
-        if pairs > prefix(n, 1) * (1 + 8 * mean):  # a candidate costs about eight rows
-            break
-        best = n
+        if math.comb(max(0, prefix(n, 2)), 2) <= prefix(n, 1) * (1 + 8 * (mean - 1)):  # a candidate costs about eight rows
+            best = n
     return best
 
 
-def _signatures(distinct: DataFrame, threshold: float, hot_list, light: int) -> DataFrame:  # noqa: ANN001
-    """(sig, heavy, single, cid, size, sketch words): what each set meets others on."""
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("single", T.BooleanType()), T.StructField("heavy", T.BooleanType()), T.StructField("cid", T.StringType()), T.StructField("size", T.IntegerType()), *[T.StructField(f"w{i}", T.LongType()) for i in range(WORDS)]])
+def _signatures(sets: DataFrame, threshold: float, counts, light: int) -> DataFrame:  # noqa: ANN001
+    """(sig, single, heavy, cid, size): what each set meets others on; equal sets of a partition count once."""
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("single", T.BooleanType()), T.StructField("heavy", T.BooleanType()), T.StructField("cid", T.LongType()), T.StructField("size", T.IntegerType())])
 
     def run(batches):  # noqa: ANN001, ANN202
         import numpy as np
         import pyarrow as pa
 
-        hot = hot_list.value
-        hot_keys = np.fromiter(hot, dtype=np.int64, count=len(hot))
+        common = counts.value
+        shift = np.uint64(64 - int(len(common)).bit_length() + 1)
         mul = np.uint64(0x94D049BB133111EB)
+        met: set[int] = set()
         for batch in batches:
-            cids, sizes, lists = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2)
-            flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            is_hot = np.isin(flat, hot_keys) if len(hot_keys) else np.zeros(len(flat), dtype=bool)
-            out_sig, out_single, out_heavy, out_at, words = [], [], [], [], np.zeros((len(cids), WORDS), dtype=np.uint64)
-            for i in range(len(cids)):
-                s, h = flat[offsets[i] : offsets[i + 1]], is_hot[offsets[i] : offsets[i + 1]]
+            cids, lists = batch.column(0).to_numpy(), batch.column(1)
+            flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            often = common[flat.view(np.uint64) >> shift]
+            cols: list[list] = [[], [], [], [], []]
+            for i, cid in enumerate(cids.tolist()):
+                if cid in met:
+                    continue
+                if len(met) < 1_000_000:
+                    met.add(cid)
+                s, c = flat[offsets[i] : offsets[i + 1]], often[offsets[i] : offsets[i + 1]]
                 n = len(s)
-                with np.errstate(over="ignore"):
-                    bit = (s.view(np.uint64) * mul) >> np.uint64(64 - 6 - 2)
-                    np.bitwise_xor.at(words[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-                if h.any():
-                    rare, often = s[~h], s[h]
-                    often = often[np.lexsort((often, [hot[x] for x in often.tolist()]))]
-                    s = np.concatenate([rare, often])
+                s = s[np.lexsort((s, c))]
                 must = math.ceil(threshold * n - 1e-9)
                 p1, p2 = n - must + 1, min(n, n - must + 2)
                 heavy = n > light or must < 2
-                singles = s[:p1]
-                out_sig.append(singles)
-                out_single += [True] * p1
-                out_heavy += [heavy] * p1
-                count = p1
+                sig, single = s[:p1], np.ones(p1, dtype=bool)
                 if not heavy:
                     first = s[:p2].view(np.uint64)
                     a, b = np.triu_indices(p2, 1)
                     with np.errstate(over="ignore"):
-                        lo, hi = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
-                        sig = ((lo * mul) ^ hi) * np.uint64(0xBF58476D1CE4E5B9)
-                        sig ^= sig >> np.uint64(31)
-                    out_sig.append(sig.view(np.int64))
-                    out_single += [False] * len(sig)
-                    out_heavy += [False] * len(sig)
-                    count += len(sig)
-                out_at += [i] * count
-            at = np.asarray(out_at, dtype=np.int64)
-            if not len(at):
-                continue
-            w = words.view(np.int64)[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_sig)), pa.array(out_single), pa.array(out_heavy), batch.column(0).take(pa.array(at)), pa.array(sizes[at], pa.int32()), *[pa.array(w[:, k]) for k in range(WORDS)]], names=schema.names
-            )
+                        both = ((np.minimum(first[a], first[b]) * mul) ^ np.maximum(first[a], first[b])) * np.uint64(0xBF58476D1CE4E5B9)
+                        both ^= both >> np.uint64(31)
+                    sig, single = np.concatenate([sig, both.view(np.int64)]), np.concatenate([single, np.zeros(len(both), dtype=bool)])
+                for c, v in zip(cols, (sig, single, np.full(len(sig), heavy), np.full(len(sig), cid), np.full(len(sig), n, dtype=np.int32)), strict=True):
+                    c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=schema.names)
 
-    return distinct.select("cid", "size", "shingles").mapInArrow(run, schema)
+    return sets.select("cid", "shingles").mapInArrow(run, schema)
 
 
-def similar_pairs(sets: DataFrame, key: str, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """(cid_a, cid_b, similarity) between distinct sets with a Jaccard similarity of ``threshold`` or more, and (key, cid).
+def similar_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(cid_a, cid_b, similarity) between distinct sets with a Jaccard similarity of ``threshold`` or more.
 
-    ``sets`` has the key, size and shingles. All links between different sets are found; equal sets share a cid.
+    ``sets`` has cid, size and shingles, rows of one cid being equal. All links between different sets are found.
     """
     spark = sets.sparkSession
-    sets = cut(sets.select(key, "size", "shingles"), "sets")
-    distinct, members = classes(sets, key)
-    distinct = cut(distinct, "distinct")
-    hot = frequent(distinct)
-    light = boundary(distinct, threshold, hot)
-    sigs = _signatures(distinct, threshold, spark.sparkContext.broadcast(hot), light)
-    # Only signatures that two sets have lead anywhere; light singles matter only next to a heavy set.
-    sides = [F.col(c) for c in sigs.columns if c != "sig"]
-    a, b = (sigs.select("sig", *[c.alias(f"{x}_{n}") for c, n in zip(sides, [c for c in sigs.columns if c != "sig"], strict=True)]) for x in "ab")
-    ham = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(WORDS)), F.lit(0))
-    both = F.col("a_size") + F.col("b_size")
+    light = boundary(sets, threshold)
+    sigs = _signatures(sets, threshold, spark.sparkContext.broadcast(bucket_counts(sets)), light).repartition("sig").distinct()
+    a, b = (sigs.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("single", "heavy", "cid", "size")]) for x in "ab")
     found = (
         a.join(b, "sig")
-        .where((F.col("a_cid") < F.col("b_cid")) & (F.col("a_single") == F.col("b_single")) & (~F.col("a_single") | F.col("a_heavy") | F.col("b_heavy")))
-        .where((F.least("a_size", "b_size") >= threshold * F.greatest("a_size", "b_size") - 1e-9) & (ham <= both * ((1 - threshold) / (1 + threshold)) + 1e-9))
-        .select(F.col("a_cid").alias("cid_a"), F.col("b_cid").alias("cid_b"))
+        .where("cid_a < cid_b AND single_a = single_b AND (NOT single_a OR heavy_a OR heavy_b)")
+        .where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9)
+        .select("cid_a", "cid_b")
         .distinct()
     )
-    texts = lambda x: distinct.select(F.col("cid").alias(f"cid_{x}"), F.col("shingles").alias(f"s_{x}"))
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    checked = found.join(texts("a"), "cid_a").join(texts("b"), "cid_b").withColumn("common", common)
+    found = cut(found, "candidates")
+    named = found.select(F.col("cid_a").alias("cid")).union(found.select("cid_b")).distinct()
+    texts = cut(sets.join(named, "cid", "left_semi").groupBy("cid").agg(F.first("shingles").alias("s")), "compared")
+    checked = found.join(texts.select(F.col("cid").alias("cid_a"), F.col("s").alias("s_a")), "cid_a").join(texts.select(F.col("cid").alias("cid_b"), F.col("s").alias("s_b")), "cid_b")
+    checked = checked.withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
     sim = F.col("common") / (F.size("s_a") + F.size("s_b") - F.col("common"))
-    return checked.select("cid_a", "cid_b", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12), members
+    return checked.select("cid_a", "cid_b", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
 def near_duplicates(symbols: DataFrame, threshold: float = 0.7, width: int = 3, least: int = 40) -> DataFrame:
@@ -218,13 +213,12 @@ def near_duplicates(symbols: DataFrame, threshold: float = 0.7, width: int = 3,
     Sets are computed where the rows lie; of older versions the sets are dropped before anything is compared. Null
     and empty code and code with fewer than ``least`` tokens have no partners.
     """
-    rows = symbols.where(F.col("id").isNotNull())
-    current = latest(rows, "id", "updated_at", "kind", F.xxhash64("source_code").alias("h"))
-    raw = shingle_sets(rows.where(F.col("kind").isin("function", "method")).select("id", F.xxhash64("source_code").alias("h"), "source_code"), "id", "source_code", width, least)
-    wanted = current.where(F.col("kind").isin("function", "method")).select("id", "h")
-    sets = raw.join(wanted, ["id", "h"], "left_semi").dropDuplicates(["id"])
-    pairs, members = similar_pairs(sets, "id", threshold)
-    pairs = cut(pairs, "pairs")
+    rows = symbols.where(F.col("id").isNotNull() & F.col("kind").isin("function", "method"))
+    sets = shingle_sets(rows.select("id", F.xxhash64("source_code").alias("h"), "source_code"), "id", "source_code", width, least)
+    sets = cut(sets.withColumn("cid", F.xxhash64("shingles")), "sets")
+    current = latest(symbols, "id", "updated_at", "kind", F.xxhash64("source_code").alias("h")).where(F.col("kind").isin("function", "method"))
+    members = cut(sets.select("id", "h", "cid").join(current.select("id", "h"), ["id", "h"], "left_semi").select("id", "cid").distinct(), "members")
+    pairs = cut(similar_pairs(sets.select("cid", "size", "shingles"), threshold), "pairs")
     m = lambda x: members.select(F.col("id").alias(f"id_{x}"), F.col("cid").alias(f"cid_{x}"))
     other = pairs.join(m("a"), "cid_a").join(m("b"), "cid_b")
     same = m("a").withColumnRenamed("cid_a", "cid").join(m("b").withColumnRenamed("cid_b", "cid"), "cid").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
