@@ -143,7 +143,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _CURRENT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rn FROM symbols) WHERE rn = 1)"
 
 
+_KNN = """WITH e AS (SELECT symbol_id AS id, arg_max(embedding, created_at) AS v FROM symbol_embeddings WHERE model = 'local-hash' AND len(embedding) = 256 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+p AS (SELECT a.id AS q, b.id AS x, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.id <> b.id), r AS (SELECT q, x, row_number() OVER (PARTITION BY q ORDER BY s DESC, x) AS rn FROM p)
+SELECT DISTINCT least(q, x) AS id_a, greatest(q, x) AS id_b FROM r WHERE rn <= 5"""
+
+_NEAR = f"""WITH t AS (SELECT id, regexp_extract_all(source_code, '[A-Za-z0-9_]+') AS w FROM {_CURRENT} AS s WHERE kind IN ('function', 'method') AND source_code IS NOT NULL),
+g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 40)), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k::DOUBLE / (x.n + y.n - k) >= 0.7"""
+
+_SPANS = """WITH w AS (SELECT doc_id, i, hash(substr(text, i + 1, 300)) AS h, md5(substr(text, i + 1, 300)) AS m FROM (SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS i FROM documents WHERE length(text) >= 300)),
+s AS (SELECT h, m FROM w GROUP BY 1, 2 HAVING min(doc_id) <> max(doc_id)), k AS (SELECT w.doc_id, w.i FROM w JOIN s ON s.h = w.h AND s.m = w.m),
+b AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 300 THEN 1 ELSE 0 END AS new FROM k), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM b)
+SELECT doc_id, min(i)::INTEGER AS span_start, (max(i) + 300)::INTEGER AS span_end FROM g GROUP BY doc_id, island"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _KNN,
         "p3_found": f"SELECT id FROM {_CURRENT} AS s WHERE length(source_code) > 2400",
+        "p6_found": _NEAR,
+        "p9_found": _SPANS,
     }

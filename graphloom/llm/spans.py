@@ -164,6 +164,8 @@ class SpanIndex:
         if not 1 <= anchor <= min_chars:
             raise ValueError("anchor must be within min_chars")
         self.spark, self.doc_type, self.min_chars, self.anchor = spark, doc_type, min_chars, anchor
+        self.cells = T.StructType([*[T.StructField(x, T.LongType()) for x in ("a", "c1", "c2")], T.StructField("doc", doc_type), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())])
+        self.entries = T.StructType([T.StructField("a", T.LongType()), T.StructField("lo", doc_type), T.StructField("hi", doc_type)])
         self.runs: list[str] = []  # of cells
         self.levels: list[tuple[int, str]] = []  # of (anchor, lo, hi): level and path
         self.hot: list[str] = []  # anchors that became shared with a batch
@@ -177,16 +179,16 @@ class SpanIndex:
         """Makes a run of the batch, merge-joins its anchors with the historical runs, and compacts."""
         run = self._write(cells(docs, key, text, self.min_chars, self.anchor).sortWithinPartitions("a"), "run")
         self.runs.append(run)
-        new = self.spark.read.parquet(run).groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        new = self.spark.read.schema(self.cells).parquet(run).groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
         level, path = 0, self._write(new.sortWithinPartitions("a"), "anchors")
-        entries = self.spark.read.parquet(path)
+        entries = self.spark.read.schema(self.entries).parquet(path)
         self.hot.append(self._write(entries.where("lo <> hi").select("a"), "hot"))
         for _, old in self.levels:
-            both = entries.hint("merge").join(self.spark.read.parquet(old).select("a", F.col("lo").alias("l"), F.col("hi").alias("h")), "a")
+            both = entries.hint("merge").join(self.spark.read.schema(self.entries).parquet(old).select("a", F.col("lo").alias("l"), F.col("hi").alias("h")), "a")
             self.hot.append(self._write(both.where("lo <> l OR hi <> h").select("a"), "hot"))
         while self.levels and self.levels[-1][0] == level:
             _, old = self.levels.pop()
-            merged = self.spark.read.parquet(path, old).groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            merged = self.spark.read.schema(self.entries).parquet(path, old).groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
             level, before = level + 1, path
             path = self._write(merged.sortWithinPartitions("a"), "anchors")
             drop(self.spark, old)
@@ -199,8 +201,8 @@ class SpanIndex:
         ``docs`` must hold all documents that were added: the texts themselves aren't kept in the index.
         """
         k = self.min_chars
-        hot = self.spark.read.parquet(*self.hot).distinct()
-        found = cut(self.spark.read.parquet(*self.runs).join(hot, "a", "left_semi"), "hotcells")
+        hot = self.spark.read.schema("a long").parquet(*self.hot).distinct()
+        found = cut(self.spark.read.schema(self.cells).parquet(*self.runs).join(hot, "a", "left_semi"), "hotcells")
         named = found.groupBy("a", "c1", "c2", "n").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "start")).alias("one"))
         named = cut(named.withColumn("open", F.col("lo") == F.col("hi")), "classes")
         whole = found.join(named.where("NOT open").select("a", "c1", "c2", "n"), ["a", "c1", "c2", "n"], "left_semi")
