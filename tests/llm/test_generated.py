@@ -1,0 +1,59 @@
+import datetime as dt
+
+from graphloom.llm.generated import classify, merkle, shared_trees
+
+F = "path string, language string, size bigint, line_count int, parsed_at timestamp, reason string, head string"
+S = "id string, name string, kind string, file_path string, start_line int, source_code string, updated_at timestamp, content string"
+T0 = dt.datetime(2024, 1, 1)
+PLAIN = "def go(a):\n    for x in a:\n        yield open_socket(x)\n" * 8
+
+
+def files(spark, *paths):
+    return spark.createDataFrame([(p, None, None, None, T0, "x", "y") for p in paths], F)
+
+
+def symbols(spark, rows):
+    return spark.createDataFrame([(f"{p}:{i}", f"s{i}", "module" if i == 0 else "function", p, i * 10 + 1, c, T0, "z") for i, (p, c) in enumerate(rows)], S)
+
+
+def test_reasons(spark):
+    cases = {
+        "a/src/x.py": (PLAIN, None),
+        "a/node_modules/x/y.js": (PLAIN, "vendored path"),
+        "a/src/vendors/y.js": (PLAIN, None),
+        "a/src/x_pb2.py": (PLAIN, "generated name"),
+        "a/dist/y.js": (PLAIN, "built path"),
+        "a/tools/codegen/y.js": (PLAIN, None),
+        "a/src/g.py": ("# Code generated by foo-gen v1.2; DO NOT EDIT.\n" + PLAIN, "generated header"),
+        "a/src/h.py": ("# Ids are generated by the server; do not edit their order.\n" + PLAIN, None),
+        "a/src/i.py": ("# Generator for x fixtures: it writes the y files that nobody should edit.\n" + PLAIN, None),
+        "a/src/c.py": ("# Copyright (c) 2016 The Foo Authors. All rights reserved.\n" + PLAIN, None),
+        "a/src/v.js": ("// foo v1.2.3 | (c) 2020 foo project | MIT License\n" + PLAIN, "vendored header"),
+        "a/src/m.js": ("function a(b,c){return b.d?c(b.e,4):a}for(u=0;u<v.p.length;++u)a.q(v[u]);" * 40, "minified layout"),
+        "a/src/d.py": ("T = [\n" + "".join(f"    {i * 7919 % 9973}, {i * 104729 % 9973}, {i},\n" for i in range(200)) + "]\n", "data layout"),
+        "a/conf/x.yaml": ("# generated by x, do not edit\n" + PLAIN, None),
+        "a/src/empty.py": (None, None),
+    }
+    rows = [(p, c) for p, (c, _) in cases.items()]
+    s = spark.createDataFrame([(f"{p}:m", "m", "module", p, 1, c, T0, "z") for p, c in rows] + [("n", None, None, None, None, None, None, None)], S)
+    got = {r["path"]: r["reason"] for r in classify(files(spark, *cases, None), s).collect()}
+    assert got == {p: r for p, (_, r) in cases.items()}
+
+
+def test_shared_trees(spark):
+    rows = [("a/lib/p/x.py", "1", 300), ("a/lib/p/y.py", "2", 300), ("b/own/q/p/x.py", "1", 300), ("b/own/q/p/y.py", "2", 300), ("c/lib/p/x.py", "1", 300), ("c/lib/p/y.py", "3", 300), ("a/lib/z.py", None, 0)]
+    df = spark.createDataFrame(rows, "path string, content string, n_chars int")
+    assert {r["dir"] for r in shared_trees(df).collect()} == {"a/lib/p", "b/own/q/p", "b/own/q"} - {"b/own/q"}
+    top = {r["dir"]: r["n_files"] for r in merkle(df).collect()}
+    assert top["a"] == 3 and top["b/own"] == 2
+    # the copies are found through the whole operator too
+    code = PLAIN * 3
+    paths = ["a/lib/p/x.py", "b/own/q/p/x.py", "b/own/other.py"]
+    s = spark.createDataFrame([(p, "m", "module", p, 1, code if "/p/" in p else PLAIN, T0, "z") for p in paths], S)
+    got = {r["path"]: r["reason"] for r in classify(files(spark, *paths), s).collect()}
+    assert got == {"a/lib/p/x.py": "shared tree", "b/own/q/p/x.py": "shared tree", "b/own/other.py": None}
+
+
+def test_empty(spark):
+    assert classify(files(spark), symbols(spark, [])).count() == 0
+    assert classify(files(spark, "a/b.py"), symbols(spark, [])).collect()[0]["reason"] is None
