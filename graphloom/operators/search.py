@@ -28,7 +28,7 @@ def hash_embedding(text: Column, dim: int = 256) -> Column:
     halves = F.transform(grams, lambda x: F.struct(F.pmod(fnv_float(F.concat(x, F.lit("_2"))), F.lit(dim)).cast("int").alias("p"), F.lit(0.5).alias("v")))
     hits = F.concat(ones, halves)
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(hits, lambda h: h["p"] == i), F.lit(0.0), lambda a, h: a + h["v"]))
-    return normalise(raw)
+    return F.when(text.isNotNull(), normalise(raw))
 
 
 def embed_texts(df: DataFrame, text: str, out: str = "embedding", dim: int = 256) -> DataFrame:

@@ -13,9 +13,13 @@ from graphloom.storage import cut, scratch
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def stream(spark: SparkSession, folder: str, schema: T.StructType = EVENTS, pattern: str = "events.parquet") -> DataFrame:
-    """A file stream with event time as a timestamp, which watermarks need."""
-    s = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def stream(spark: SparkSession, folder: str, schema: T.StructType = EVENTS, name: str = "events.parquet") -> DataFrame:
+    """A file stream over ``name`` in ``folder``, itself a file or a folder of files, with event time as a timestamp,
+    which watermarks need."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    reader = spark.readStream.schema(schema)
+    s = reader.option("pathGlobFilter", name).parquet(folder) if status.isFile() else reader.parquet(f"{folder}/{name}")
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
