@@ -284,7 +284,7 @@ def scan(code: str | None, path: str | None = None) -> list[Secret]:
         if (m := CONFIG_LINE.match(text)) and secret_name(m[1]) and (config or not re.search(r"[;(){}]\s*$", text)):
             v = text[m.end() :]
             v = re.split(r"[ \t]+#", v, maxsplit=1)[0].rstrip()
-            if v and not re.search(r"[()\s\"'`{}]|;$|,$|^[A-Za-z_]\w*(?:\.\w+)+$", v) and (config or not re.fullmatch(r"[A-Za-z_]\w*", v)) and plausible(v):
+            if v and not re.search(r"[()\s\"'`{}]|;$|,$", v) and (config or not re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+)*", v)) and plausible(v):
                 add("setting", a + m.end(), (a + m.end(), a + m.end() + len(v)))
     return [found[n] for n in sorted(found)]
 

@@ -35,6 +35,9 @@ DEALS_WITH = r"(?i)[^\n]*(ids are generated by|generator for|generates?\b[^\n]*f
 OPENING = r"(?s)\A\s*((?:/\*.{0,1500}?\*/|(?:[ \t]*(?://|#(?![ \t]*(?:include|define|pragma|if|endif))|--|;|%)[^\n]*\n?){1,12}|<!--.{0,800}?-->|\"\"\".{0,800}?\"\"\"|'''.{0,800}?''')\s*){1,3}"
 
 
+PEM = r"(?s)-----BEGIN [A-Z0-9 ]+-----.*?(-----END [A-Z0-9 ]+-----|\z)"
+
+
 def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.translate(c, " \t\r\n", ""))
 
@@ -44,18 +47,19 @@ def layout(symbols: DataFrame) -> DataFrame:
 
     ``head`` is the comment that opens the symbol with the least start line, ``long_chars`` counts the characters in
     lines over 300, ``dense_chars`` those of symbols of 200 characters or more with under 5 % white space,
-    ``data_chars`` the digits, commas, blanks and hexadecimal marks of literals. Methods are left out, as their class
-    has them.
+    ``data_chars`` the digits, commas, blanks and hexadecimal marks of literals. Key blocks count as no code: a file
+    isn't data for holding one. Methods are left out, as their class has them.
     """
-    code = F.coalesce("source_code", F.lit(""))
+    raw = F.coalesce("source_code", F.lit(""))
+    code = F.when(raw.contains("-----BEGIN "), F.regexp_replace(raw, PEM, "")).otherwise(raw)
     n = F.length(code)
     longest = F.regexp_replace(code, r"(?m)^.{0,300}$", "")
     data = n - F.length(F.regexp_replace(code, r"\b(0[xX][0-9a-fA-F]+|-?\d[\d.eE+-]*)\b[ \t]*,?|[\"'][A-Za-z0-9+/=\\n]{40,}[\"'],?|(?m)^[A-Za-z0-9+/=]{40,}$", ""))
     rows = symbols.where(F.coalesce("kind", F.lit("")) != "method")
     values = latest(
-        rows, "id", "updated_at", "file_path", F.coalesce("start_line", F.lit(0)).alias("line"), F.regexp_extract(F.substring(code, 1, 4000), OPENING, 0).alias("head"), n.alias("n"),
+        rows, "id", "updated_at", "file_path", F.coalesce("start_line", F.lit(0)).alias("line"), F.regexp_extract(F.substring(raw, 1, 4000), OPENING, 0).alias("head"), n.alias("n"),
         (F.length(longest) - F.length(F.translate(longest, "\n", ""))).alias("nl"), F.length(F.translate(longest, "\r\n", "")).alias("long"),
-        F.when((n >= 200) & (_spaces(code) < 0.05 * n), n).otherwise(0).alias("dense"), data.alias("data"), F.xxhash64(code).alias("h1"), F.xxhash64(code, F.lit(7)).alias("h2"),
+        F.when((n >= 200) & (_spaces(code) < 0.05 * n), n).otherwise(0).alias("dense"), data.alias("data"), F.xxhash64(raw).alias("h1"), F.xxhash64(raw, F.lit(7)).alias("h2"),
     )
     return values.groupBy(F.col("file_path").alias("path")).agg(
         F.min_by("head", F.struct("line", "id")).alias("head"), F.min("line").alias("first_line"), F.sum("n").alias("n_chars"), F.sum("long").alias("long_chars"), F.sum("dense").alias("dense_chars"), F.sum("data").alias("data_chars"), F.sum("nl").alias("n_lines"),
@@ -107,8 +111,9 @@ def shared_trees(files: DataFrame, min_chars: int = 400, max_depth: int | None =
 def classify(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, reason) of every current path of ``files``; ``reason`` is null for hand-written files.
 
-    Reasons: config (never a case), vendored path, built path, generated name, generated header, vendored header,
-    minified layout, data layout, shared tree. Files without symbols are judged by path and by size and line count
+    Configuration files never are a case. Reasons: vendored path, built path, generated name, generated header,
+    vendored header, minified layout, data layout (a short table in a short file is none), long lines by size, shared
+    tree. Files without symbols are judged by path and by size and line count
     alone; null, zero and negative sizes tell nothing. Null paths are dropped.
     """
     current = latest(files, "path", "parsed_at", F.col("size"), F.col("line_count"))
@@ -132,8 +137,8 @@ def classify(files: DataFrame, symbols: DataFrame) -> DataFrame:
         .when(top & head.rlike(GENERATED_HEADER), "generated header")
         .when(top & head.rlike(VENDORED_HEADER), "vendored header")
         .when((n >= 200) & (F.col("dense_chars") > 0.5 * n), "minified layout")
-        .when((n >= 400) & (F.col("data_chars") > 0.5 * n), "data layout")
-        .when((n < 200) & (per_line > 400) & (F.col("size") > 4000), "minified layout")
+        .when((n >= 400) & (F.col("data_chars") > 0.5 * n) & ((n >= 900) | ~F.coalesce((F.col("size") > 0) & (F.col("size") < 2000), F.lit(False))), "data layout")
+        .when((per_line > 150) & (F.col("size") > 2000), "long lines by size")
         .when(F.col("shared"), "shared tree")
     )
     return rows.select("path", reason.alias("reason"))
