@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from graphloom.model import Graph, sql
 from graphloom.operators import relations as R
+from graphloom.operators.ordering import global_rank
 from graphloom.operators.versions import latest
 from graphloom.plans.catalog import query
 from graphloom.plans.joins import _ANN, annotations
@@ -220,9 +221,11 @@ def sketches(g: Graph) -> DataFrame:
 
 @query("win01_rank_score", sql("h AS (SELECT id, name FROM sym WHERE name ILIKE '%handler%') SELECT id, round(1 - (row_number() OVER (ORDER BY name, id) - 1)::DOUBLE / count(*) OVER (), 9) AS score FROM h"))
 def rank_score(g: Graph) -> DataFrame:
+    """Place in the order of all hits as a score; the hits aren't brought into one task for it."""
     h = g.symbols("id", "name").where(F.col("name").ilike("%handler%"))
-    w = W.partitionBy()
-    return h.select("id", F.round(1 - (F.row_number().over(w.orderBy("name", "id")) - 1) / F.count("*").over(w), 9).alias("score"))
+    ranked = global_rank(h.select("id", "name"), ["name", "id"])
+    total = ranked.agg(F.count("*").alias("n"))
+    return ranked.join(F.broadcast(total), how="inner", on=F.lit(True)).select("id", F.round(1 - (F.col("rank") - 1) / F.col("n"), 9).alias("score"))
 
 
 @query("win02_top_callers", sql("c AS (SELECT e.dst, e.src, row_number() OVER (PARTITION BY e.dst ORDER BY s.name, s.id) AS rn FROM edg e JOIN sym s ON s.id = e.src WHERE e.kind = 'calls') SELECT dst AS id, src AS caller_id, rn FROM c WHERE rn <= 3"))

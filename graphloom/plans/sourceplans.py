@@ -23,10 +23,9 @@ def changed(g: Graph) -> DataFrame:
 
 @query("src05_large_directories", sql("p AS (SELECT array_to_string(list_slice(string_split(path, '/'), 1, 2), '/') AS dir, count(*) AS n FROM fil GROUP BY 1) SELECT dir, n FROM p WHERE n >= 5 AND n >= 0.01 * (SELECT count(*) FROM fil)"))
 def directories(g: Graph, least: int = 5, share: float = 0.01) -> DataFrame:
-    from pyspark.sql import Window as W
-
     p = g.files("language").groupBy(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("dir")).agg(F.count("*").alias("n"))
-    return p.withColumn("all", F.sum("n").over(W.partitionBy())).where((F.col("n") >= least) & (F.col("n") >= share * F.col("all"))).select("dir", "n")
+    total = p.agg(F.sum("n").alias("all"))
+    return p.join(F.broadcast(total), how="inner", on=F.lit(True)).where((F.col("n") >= least) & (F.col("n") >= share * F.col("all"))).select("dir", "n")
 
 
 @query("src06_languages", "SELECT DISTINCT path, CASE regexp_extract(path, '(\\.[^./]*)$', 1) WHEN '.ts' THEN 'typescript' WHEN '.js' THEN 'javascript' WHEN '.py' THEN 'python' WHEN '.c' THEN 'c' WHEN '.cpp' THEN 'cpp' END AS lang FROM files")
