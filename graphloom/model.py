@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.operators.versions import latest
+from graphloom.storage import spread
 
 #: Closed domains of the model.
 LAYERS = ("interface", "business", "data", "utility", "unknown")
@@ -28,6 +29,10 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def heavy(self, name: str) -> DataFrame:
+        """A table for work that is heavy by the row, over all cores."""
+        return spread(self.table(name))
+
     def symbols(self, *columns: str) -> DataFrame:
         """The current row of each symbol id: the one with the greatest ``updated_at``."""
         return latest(self.table("symbols"), "id", "updated_at", *[F.col(c) for c in columns if c != "id"] or [F.lit(True).alias("present")])

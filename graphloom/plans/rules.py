@@ -41,13 +41,13 @@ def _layer_sql() -> str:
 
 @query("rul01_layers", sql(_layer_sql()))
 def layers(g: Graph) -> DataFrame:
-    return O.classify_layers(g.table("symbols"), g.table("files"))
+    return O.classify_layers(g.heavy("symbols"), g.table("files"))
 
 
 @query("rul02_custom_rules")
 def custom(g: Graph) -> DataFrame:
     """The fixed rules with one more; the table of fixed rules stays as it is."""
-    return O.classify_layers(g.table("symbols"), g.table("files"), [("utility", "naming", 5, ["Private"])])
+    return O.classify_layers(g.heavy("symbols"), g.table("files"), [("utility", "naming", 5, ["Private"])])
 
 
 @query(
@@ -98,7 +98,7 @@ def smells(g: Graph) -> DataFrame:
     """(id, smell, severity): all detectors that look at single symbols and their edges, in one union."""
     from graphloom.functions.scalars import parameter_count
 
-    t = g.table("symbols")
+    t = g.heavy("symbols")
     lines = (F.length("source_code") - F.length(F.translate("source_code", "\n", "")) + 1).cast("long")
     params = F.when(F.col("kind").isin("function", "method"), parameter_count(F.col("source_code")))
     from graphloom.storage import cut
@@ -147,7 +147,7 @@ def _review_sql() -> str:
 @query("rul06_review", sql(_review_sql()))
 def review(g: Graph) -> DataFrame:
     """Correctness, security, performance and readability findings (RUL06 to RUL09 but for magic numbers)."""
-    return O.review(g.table("symbols"))
+    return O.review(g.heavy("symbols"))
 
 
 @query("rul07_document_secrets", "SELECT doc_id FROM documents WHERE regexp_matches(text, " + _lit(next(p for r, _, p in O.REVIEW_RULES if r == "hardcoded-secret")) + ")")
@@ -157,7 +157,7 @@ def document_secrets(g: Graph) -> DataFrame:
 
 @query("rul09_magic_numbers")
 def magic(g: Graph) -> DataFrame:
-    return O.magic_numbers(g.table("symbols"))
+    return O.magic_numbers(g.heavy("symbols"))
 
 
 @query("rul10_refactor_plan", sql(_SMELLS + ", p(smell, steps, effort) AS (VALUES ('dead-code', 1, 'low'), ('long-function', 3, 'medium'), ('data-clumps', 2, 'low'), ('high-coupling', 4, 'high'), ('shotgun-surgery', 4, 'high')) SELECT al.id, al.smell, p.steps, p.effort, coalesce(k.n, 0) AS callers FROM al JOIN p USING (smell) LEFT JOIN k ON k.id = al.id WHERE severity <> 'info'"))
@@ -177,7 +177,7 @@ def _intent_sql() -> str:
 
 @query("rul16_intents", _intent_sql())
 def intents(g: Graph) -> DataFrame:
-    d = g.table("documents").where("doc_kind = 'commit_message'")
+    d = g.heavy("documents").where("doc_kind = 'commit_message'")
     return O.intents(d, "text").select("doc_id", "intent", F.round("confidence", 6).alias("confidence"))
 
 

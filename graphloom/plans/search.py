@@ -9,6 +9,7 @@ from graphloom.model import Graph, sql
 from graphloom.operators import search as S
 from graphloom.operators.versions import latest
 from graphloom.plans.catalog import query
+from graphloom.storage import spread
 
 _KW = "k0 AS (SELECT id, name FROM sym WHERE name ILIKE '%{q}%' OR doc_comment ILIKE '%{q}%' ORDER BY name, id LIMIT {n}), kw AS (SELECT id, 1 - (row_number() OVER (ORDER BY name, id) - 1)::DOUBLE / count(*) OVER () AS score FROM k0)"
 
@@ -21,7 +22,7 @@ def keyword(g: Graph) -> DataFrame:
 @query("sim02_hash_embedding")
 def hash_embedding(g: Graph) -> DataFrame:
     """Hashed vectors of all symbols' names, kinds, paths, comments and layers."""
-    return S.embed_texts(_texts(g), "text").select("id", F.size("embedding").alias("dim"), F.round(S.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
+    return S.embed_texts(spread(_texts(g)), "text").select("id", F.size("embedding").alias("dim"), F.round(S.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
 
 
 def _texts(g: Graph) -> DataFrame:

@@ -34,7 +34,7 @@ def token_estimate(g: Graph) -> DataFrame:
 
 @query("fn05_complexity", sql("""SELECT id, 1 + len(regexp_extract_all(source_code, '\\bif\\s*\\(')) + len(regexp_extract_all(source_code, '\\belse\\s+if\\b')) + len(regexp_extract_all(source_code, '\\bwhile\\s*\\(')) + len(regexp_extract_all(source_code, '\\bfor\\s*\\(')) + len(regexp_extract_all(source_code, '\\bcase\\b')) + len(regexp_extract_all(source_code, '\\bcatch\\s*\\(')) + len(regexp_extract_all(source_code, '\\bswitch\\s*\\(')) + len(regexp_extract_all(source_code, '&&')) + len(regexp_extract_all(source_code, '\\|\\|')) AS complexity FROM sym WHERE source_code IS NOT NULL"""))
 def complexity(g: Graph) -> DataFrame:
-    return latest(g.table("symbols"), "id", "updated_at", S.cyclomatic(F.col("source_code")).alias("complexity")).where("complexity IS NOT NULL")
+    return latest(g.heavy("symbols"), "id", "updated_at", S.cyclomatic(F.col("source_code")).alias("complexity")).where("complexity IS NOT NULL")
 
 
 @query("fn06_signature", sql("SELECT id, trim(list_filter(string_split(source_code, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '' AND NOT regexp_matches(x, '^\\s*(//|/?\\*|#|@|\"\"\")'))[1], ' ' || chr(9) || chr(13))[:120] AS signature FROM sym WHERE kind IN ('function', 'method') AND source_code IS NOT NULL"))

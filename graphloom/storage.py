@@ -44,6 +44,15 @@ def cut(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files come in fewer than half as many partitions as there are; else unchanged.
+
+    For work that is heavy by the row. Filters and column choices still reach the scan through it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that nothing reads any more."""
     jvm = spark.sparkContext._jvm
