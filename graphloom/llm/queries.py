@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.versions import latest
 from graphloom.session import ship
+from graphloom.storage import spread
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in ("symbols", "documents") else df
 
 
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
