@@ -33,11 +33,12 @@ def languages(g: Graph) -> DataFrame:
     return g.table("files").select("path").distinct().select("path", S.language(F.col("path")).alias("lang"))
 
 
-@query("src07_parse_documents")
+@query("src07_parse_code")
 def parsed(g: Graph) -> DataFrame:
-    """Symbols parsed from the code of the source documents."""
-    d = g.table("documents").where("doc_kind = 'source_file'").select("doc_id", "text", S.language(F.col("file_path")).alias("language"))
-    return S.parse(d, "doc_id")
+    """Symbols parsed anew from the code of the current classes and functions, each taken as a file of its own."""
+    code = F.when(F.col("kind").isin("class", "function"), F.struct("source_code", "language"))
+    s = latest(g.heavy("symbols"), "id", "updated_at", code.alias("c")).where("c.source_code IS NOT NULL").select("id", F.col("c.source_code").alias("text"), F.col("c.language").alias("language"))
+    return S.parse(s, "id")
 
 
 @query("src08_macros")
