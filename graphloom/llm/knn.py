@@ -6,8 +6,8 @@ tables and looks into ``probes`` of them, its own and those next to it in the or
 perturbation sets come from one precomputed sequence (expected squared distances to the cell borders), and are mapped
 to each vector's own order of borders. The candidates of all tables are merged and ranked by exact cosine.
 
-Equal vectors are one class, so copies cost nothing. A bucket with more than ``bucket_cap`` classes is cut into finer
-cells of further projections. Vectors that found too few candidates look again through fewer projections, and what is
+Equal vectors are one class, so copies cost nothing. In a bucket with more than ``bucket_cap`` classes every part of
+those asking is compared with every part of the members, and only the best are kept as candidates. Vectors that found too few candidates look again through fewer projections, and what is
 left then is compared with all vectors in blocks.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from graphloom.operators.versions import latest
 from graphloom.storage import cut, drop, scratch
 
-FINE = 8  # further projections for buckets over the cap
+PART = 8192  # classes of either side that are compared at once in a bucket over the cap
 
 
 def perturbations(functions: int, probes: int) -> list[tuple[int, ...]]:
@@ -78,8 +78,8 @@ def units(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _keys(classes: DataFrame, dim: int, tables: int, functions: int, width: float, probes: int, seed: int) -> DataFrame:
-    """(key, fine1, fine2, v): the buckets that each vector lies in (probes = 1) or looks into."""
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("key", "fine1", "fine2", "v")])
+    """(key, v): the buckets that each vector lies in (probes = 1) or looks into."""
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("key", "v")])
     sets = perturbations(functions, probes)
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -89,9 +89,9 @@ def _keys(classes: DataFrame, dim: int, tables: int, functions: int, width: floa
         rng = np.random.default_rng(seed)
         plans = []
         for t in range(tables):
-            a = rng.standard_normal((dim, functions + FINE)).astype(np.float32)
-            b = rng.uniform(0, 1, functions + FINE).astype(np.float32)
-            mul = rng.integers(1, 1 << 62, functions + FINE) | 1
+            a = rng.standard_normal((dim, functions)).astype(np.float32)
+            b = rng.uniform(0, 1, functions).astype(np.float32)
+            mul = rng.integers(1, 1 << 62, functions) | 1
             plans.append((a, b, mul, int(rng.integers(1 << 62))))
         for batch in batches:
             n = batch.num_rows
@@ -101,15 +101,14 @@ def _keys(classes: DataFrame, dim: int, tables: int, functions: int, width: floa
             v = batch.column(0).to_numpy()
             for a, b, mul, salt in plans:
                 p = x @ a
-                q = p[:, :functions] / width + b[:functions]
+                q = p / width + b
                 cell = np.floor(q).astype(np.int64)
                 with np.errstate(over="ignore"):
-                    own = (cell * mul[:functions]).sum(axis=1) + salt
-                    fine = [(np.floor(p[:, functions:] * (s / width) + b[functions:]).astype(np.int64) * mul[functions:]).sum(axis=1) for s in (4, 16)]
+                    own = (cell * mul).sum(axis=1) + salt
                     if probes > 1:
                         part = q - cell
                         order = np.argsort(np.concatenate([part, 1 - part], axis=1), axis=1)
-                        delta = np.concatenate([-mul[:functions], mul[:functions]])
+                        delta = np.concatenate([-mul, mul])
                         keys = np.empty((n, len(sets)), dtype=np.int64)
                         for i, ranks in enumerate(sets):
                             keys[:, i] = own
@@ -118,25 +117,63 @@ def _keys(classes: DataFrame, dim: int, tables: int, functions: int, width: floa
                     else:
                         keys = own[:, None]
                 k = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fine[0], k)), pa.array(np.repeat(fine[1], k)), pa.array(np.repeat(v, k))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(v, k))], names=schema.names)
 
     return classes.select("v", "unit").mapInArrow(run, schema)
 
 
-def _candidates(classes: DataFrame, asking: DataFrame, dim: int, tables: int, functions: int, width: float, probes: int, cap: int, seed: int) -> DataFrame:
-    """(q, xs): the classes that share a probed bucket with each asking one."""
+def _candidates(classes: DataFrame, asking: DataFrame, dim: int, tables: int, functions: int, width: float, probes: int, cap: int, seed: int, best: int) -> DataFrame:
+    """(q, xs): the classes that share a probed bucket with each asking one; of buckets over the cap the ``best`` at least."""
     data = cut(_keys(classes, dim, tables, functions, width, 1, seed), "buckets")
     hot = data.groupBy("key").count().where(F.col("count") > cap).select("key", F.col("count").alias("members"))
     asked = _keys(asking, dim, tables, functions, width, probes, seed).withColumnRenamed("v", "q")
+    dense = None
     if not hot.isEmpty():
         hot = cut(hot, "hotbuckets")
-        finer = F.when(F.col("members") > 64 * cap, F.xxhash64("key", "fine2")).when(F.col("members").isNotNull(), F.xxhash64("key", "fine1")).otherwise(F.col("key"))
-        data = data.join(hot, "key", "left").select(finer.alias("key"), "v")
-        asked = asked.join(hot, "key", "left").select(finer.alias("key"), "q")
-    met = asked.select("key", "q").join(data.select("key", "v"), "key").where("q <> v")
+        dense = _dense(classes, data.join(hot.select("key"), "key", "left_semi"), cut(asked.join(hot.select("key"), "key", "left_semi"), "hotasked"), hot, best)
+        data, asked = data.join(hot, "key", "left_anti"), asked.join(hot, "key", "left_anti")
+    met = asked.join(data, "key").where("q <> v").select("q", "v")
+    met = met if dense is None else met.unionByName(dense)
     return met.groupBy("q").agg(F.collect_set("v").alias("xs"))
 
 
+def _dense(classes: DataFrame, data: DataFrame, asked: DataFrame, hot: DataFrame, best: int) -> DataFrame:
+    """(q, v): in each hot bucket the ``best`` of every part of its members for each q asking there, ordered as in ``_rank``.
+
+    Every part of those asking meets every part of the members, each of about ``PART`` classes, so all pairs of the bucket
+    are compared; the best of a bucket are among the best of its parts.
+    """
+    askers = asked.groupBy("key").agg(F.count("*").alias("askers"))
+    parts = hot.join(askers, "key").select("key", F.ceil(F.col("members") / PART).alias("dn"), F.ceil(F.col("askers") / PART).alias("qn"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = asked.join(parts, "key").select("key", F.pmod(F.xxhash64("q"), "qn").alias("qp"), every("dn").alias("dp"), "q").join(classes.select(F.col("v").alias("q"), F.col("unit").alias("asking")), "q")
+    right = data.join(parts, "key").select("key", every("qn").alias("qp"), F.pmod(F.xxhash64("v"), "dn").alias("dp"), "v").join(classes, "v").select(F.col("key").alias("in_key"), F.col("qp").alias("in_qp"), F.col("dp").alias("in_dp"), "v", "first", "unit")
+
+    def run(left, right):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"q": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        q, v = left.column("q").to_numpy(), right.column("v").to_numpy()
+        x, y = (t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t, c in ((left, "asking"), (right, "unit")))
+        first = np.unique(np.asarray(right.column("first").to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
+        out_q, out_v = [], []
+        for at in range(0, len(q), 256):
+            some = q[at : at + 256]
+            s = np.round(x[at : at + 256] @ y.T, 9)
+            s[some[:, None] == v] = -2  # itself
+            least = np.partition(s, len(v) - best, axis=1)[:, len(v) - best] if len(v) > best else np.full(len(some), -2.0)
+            for i in range(len(some)):
+                c = np.flatnonzero((s[i] >= least[i]) & (s[i] > -2))
+                c = c[np.lexsort((first[c], -s[i][c]))[:best]]
+                out_q.append(np.full(len(c), some[i]))
+                out_v.append(v[c])
+        return pa.table({"q": pa.array(np.concatenate(out_q)), "v": pa.array(np.concatenate(out_v))})
+
+    return left.groupBy("key", "qp", "dp").cogroup(right.groupBy("in_key", "in_qp", "in_dp")).applyInArrow(run, "q long, v long")
+
+
 def _rank(classes: DataFrame, places: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(q, x, similarity): the ``k`` best candidates of each q by exact cosine, ties by the least member id.
 
@@ -216,7 +253,7 @@ def nearest(df: DataFrame, key: str = "symbol_id", vector: str = "embedding", k:
     found, asking = None, classes
     for level in range(3):
         m = max(2, functions >> level)
-        got = cut(_candidates(classes, asking, dim, tables, m, width, probes if m >= 4 else 1, bucket_cap, seed + level), "candidates")
+        got = cut(_candidates(classes, asking, dim, tables, m, width, probes if m >= 4 else 1, bucket_cap, seed + level, 4 * k), "candidates")
         enough = got.where(F.size("xs") >= min(4 * k, max(0, n - 1)))
         found = enough if found is None else found.unionByName(enough)
         left = cut(classes.select("v").join(found.select(F.col("q").alias("v")), "v", "left_anti"), "asking")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from graphloom.llm import knn
 from graphloom.llm.knn import nearest, neighbour_pairs, perturbations
 
 S = "symbol_id string, embedding array<double>, model string, created_at timestamp, v int, block int, unit int"
@@ -77,6 +78,16 @@ def test_hot_buckets_are_split(spark):
     assert got == 5 * len(v)
 
 
+def test_hot_buckets_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PART", 64, raising=False)
+    v = data(3, n=400, clusters=2)
+    df = spark.createDataFrame(rows(v), S).cache()
+    cut, whole = ({(r["symbol_id"], r["rank"]): (r["neighbour"], r["similarity"]) for r in nearest(df, dim=D, bucket_cap=cap, tables=4, functions=6).collect()} for cap in (60, 10**9))
+    assert cut == whole
+    want = brute(v)
+    assert sum(n in want[i] for (i, _), (n, _) in cut.items()) / (5 * len(want)) >= 0.97
+
+
 def test_perturbations():
     p = perturbations(10, 50)
     assert p[0] == () and len(set(p)) == 50
