@@ -19,7 +19,7 @@ TOKEN = re.compile(
     r"|xox[abeoprs]-[0-9A-Za-z-]{14,}|xapp-[0-9A-Za-z-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|AIza[0-9A-Za-z_-]{35}|ya29\.[\w-]{20,}|npm_[A-Za-z0-9]{36}|pypi-[\w-]{40,}|SG\.[\w-]{20,}\.[\w-]{20,}|hf_[A-Za-z0-9]{30,}|dop_v1_[0-9a-f]{64}|shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}|SK[0-9a-f]{32}|AGE-SECRET-KEY-1[0-9A-Z]{50,})"
 )
 #: A name that says its value grants access, and words that say it doesn't.
-SECRET_NAME = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|cred(?:ential)?s?|(?:api|access|auth|signing|private|secret|encryption|master|client|account|service|storage|shared|deploy|session|app)[_.-]?key|auth)(?:[_.-]?(?:value|key|v)?[_.-]?\d*)$")
+SECRET_NAME = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|psk|secret|token|cred(?:ential)?s?|(?:api|access|auth|signing|private|secret|encryption|master|client|account|service|storage|shared|deploy|session|app)[_.-]?key|auth)(?:[_.-]?(?:value|key|v)?[_.-]?\d*)$")
 NOT_NAME = re.compile(r"(?i)hash|digest|checksum|fingerprint|etag|sha\d|md5|public|pub_?key|header|ttl|length|min_|max_|count|_url|_uri|endpoint|_path|_file|_dir|_name$|_id$|_type|kind|label|hint|regex|pattern|expir|timeout|seconds|field|param|prefix|suffix|format|policy|placeholder|example|author(?!iz)|passenger|passive|bypass|compass|passed|tokenizer|tokens$")
 PLACEHOLDER = re.compile(
     r"(?i)^(?:x{3,}|\*{2,}|\.{3,}|-+|_+|null|none|nil|undefined|true|false|todo|tbd|n/?a|empty|unset|changeme|change[_-]?(me|it|this)\S*|replace[_-]?\S*|redacted\S*|removed|dummy\S*|example\S*|sample\S*|placeholder\S*|fake\S*|mock\S*|test|testing|secret|password|passw0rd|token|your\S*|my[_-]?\S*|some\S*|insert\S*|enter\S*|put\S*|(?:the|an?)[_-]\S*|set[_-]?\S*)$"
@@ -43,9 +43,14 @@ CONNECTION = re.compile(r"(?i)(?:^|[;?&\"'`,{ ])(?:password|pwd|passwd|accountke
 CALL = re.compile(rf"(?i)\.?\b\w*(?:login|log_in|sign_?in|auth|authenticate|connect|set_?credentials|credentials?|basic_?auth)\w*\([ \t]*(?:{QUOTED})[ \t]*,[ \t]*({QUOTED})")
 FALLBACK = re.compile(rf"(?i)(?:\benv(?:iron)?\b(?:\.get\b)?|\bgetenv\b|\bvar\b)[\[(.\"']*([A-Za-z_]\w*)[\"']?[\])]*[ \t]*(?:\|\||\?\?|,|\bor\b|\?:)[ \t]*({QUOTED})")
 SPOKEN = re.compile(r"(?i)(?:^|[ \t])(?://|#|\*|--|;)[^\n]*?\b(?:(?:old|prod|test|temp|staging|root|admin|real|current)[ \t]+)?(?:key|login|pass(?:word)?|pwd|token|secret|creds?|works with|rotate me|temp)(?:[ \t]+is)?[ \t]*[:=][ \t]*([^\s'\"`]{8,})[ \t]*$")
-#: A line is looked at if it holds one of these, in any case, or a long literal.
-KEYWORDS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "login", "log_in", "signin", "sign_in", "connect", "works with", "rotate me", "temp:", "sig=", "curl", "-----begin", "bearer", "environ", "getenv", ".env", "akia", "asia", "abia", "acca", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "sk-", "xox", "xapp-", "eyj", "aiza", "ya29.", "npm_", "pypi-", "sg.", "hf_", "dop_v1", "shpat_", "shpca_", "shppa_", "shpss_")
-LONG = re.compile(r"[\"'`][A-Za-z0-9+/=_%\\-]{24,}[\"'`]|://[^\s/:]*:[^\s/]*@")
+#: A line is looked at if it holds one of these, in any case, or LONG matches: all that any rule can begin with.
+KEYWORDS = ("pass", "pwd", "psk", "secret", "token", "key", "auth", "cred", "login", "log_in", "signin", "sign_in", "connect", "works with", "rotate me", "temp", "sig=", "-u ", "-u=", "--user", "--proxy-user", "mysql", "-----begin", "bearer", "environ", "getenv", ".env", "akia", "asia", "abia", "acca", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "sk-", "xox", "xapp-", "eyj", "aiza", "ya29.", "npm_", "pypi-", "sg.", "hf_", "dop_v1", "shpat_", "shpca_", "shppa_", "shpss_")
+LONG = re.compile(
+    r"[\"'`][A-Za-z0-9+/=_-]{20,}[\"'`]|%[0-9A-Fa-f]{2}|\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{3})|://[^\s/:]*:[^\s/]*@|SK[0-9a-f]{32}"
+    r"|[\"'`][ \t]*(?:[+.&]|\.\.|\\)?[ \t]*\\?\n?[ \t]*(?=[\"'`])"
+)
+#: What matches i, k and s where case is ignored, besides their capitals.
+FOLD = str.maketrans("İıKſ", "iiks")
 PACKED = re.compile(r"^(?:[A-Za-z0-9+/_-]{20,}={0,2}|(?:%[0-9A-Fa-f]{2}|[\w.~+/=-]){20,}|(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}|[\x20-\x5b\x5d-\x7e]){20,})$")
 
 
@@ -199,9 +204,9 @@ def _pieces(code: str, m: re.Match) -> tuple[str, tuple[tuple[int, int], ...]]:
 
 def _suspects(code: str) -> list[tuple[int, int]]:
     """The lines (from, to) worth a look, in order."""
-    low = code.lower()
-    if len(low) != len(code):  # a few letters grow when lowered
-        low = "".join(c.lower() if c.isascii() else c for c in code)
+    low = (code if code.isascii() else code.translate(FOLD)).lower()
+    if len(low) != len(code):  # a letter grew when lowered
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in code.translate(FOLD))
     starts: dict[int, int] = {}
     for word in KEYWORDS:
         at = low.find(word)

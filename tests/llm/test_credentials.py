@@ -1,8 +1,10 @@
 import base64
 import datetime as dt
+import re
 
 import pytest
 
+from graphloom.llm import credentials
 from graphloom.llm.credentials import MASK, find_credentials, key_container, redact, redacted, scan
 
 B64 = lambda s: base64.b64encode(s.encode() if isinstance(s, str) else s).decode()
@@ -60,6 +62,35 @@ def test_clean(line):
     assert redact(line, "x.env") == line
 
 
+GATED = [
+    "mysql -h db1 -u app -pHunter2xQ shop",
+    "mysqldump -h db1 -pHunter2xQ shop",
+    "wget --user=bob:Hunter2xQ9 https://x.example/a",
+    'k = "AK" + "IAXWX36PSOGUNOPGC6"',
+    'k = "AK" +\n    "IAXWX36PSOGUNOPGC6"',
+    'u = "postgres%3A%2F%2Fsvc%3ASelkrizel46TAp%40db.internal%2Fapp"',
+    f'v = "{B64("pwd=Hunter2xQ9z")}"',
+    "# temp is: Hunter2xQ!9",
+    'x = f("SK0123456789abcdef0123456789abcdef")',
+    '#define X_PSK "Hunter2xQ9z"',
+    "wi\u017fi_pa\u017f\u017f = 'Hunter2xQ9z'",
+]
+
+
+@pytest.mark.parametrize("line", GATED)
+def test_what_the_rules_match_is_looked_at(line):
+    assert [x.line_no for x in scan("a\n" + line + "\nb")] == [2]
+    assert MASK in redact(line)
+
+
+@pytest.mark.parametrize("line", FOUND + CLEAN + GATED)
+def test_gated_and_ungated_scans_agree(line, monkeypatch):
+    code = "a = 1\n" + line + "\nb = f(2)"
+    gated = scan(code, "x.env")
+    monkeypatch.setattr(credentials, "_suspects", lambda c: [(m.start(), m.end()) for m in re.finditer("(?m)^.*$", c)])
+    assert gated == scan(code, "x.env")
+
+
 def test_private_key_block():
     body = "\n".join(["QzBxCb2IfdPsYDD0ArJf8nhp3SZfxojrHqcidc9"] * 4)
     code = f"k = `-----BEGIN EC PRIVATE KEY-----\n{body}\n-----END EC PRIVATE KEY-----`;\nn = 1\n"
