@@ -46,7 +46,7 @@ def test_reasons(spark):
 def test_shared_trees(spark):
     rows = [("a/lib/p/x.py", "1", 300), ("a/lib/p/y.py", "2", 300), ("b/own/q/p/x.py", "1", 300), ("b/own/q/p/y.py", "2", 300), ("c/lib/p/x.py", "1", 300), ("c/lib/p/y.py", "3", 300), ("a/lib/z.py", None, 0)]
     df = spark.createDataFrame(rows, "path string, content string, n_chars int")
-    assert {r["dir"] for r in shared_trees(df).collect()} == {"a/lib/p", "b/own/q/p", "b/own/q"} - {"b/own/q"}
+    assert {r["dir"] for r in shared_trees(df).collect()} == {"a/lib/p", "b/own/q/p", "a/lib", "b/own/q"}  # a file without content voids nothing above it
     top = {r["dir"]: r["n_files"] for r in merkle(df).collect()}
     assert top["a"] == 3 and top["b/own"] == 2
     # the copies are found through the whole operator too
@@ -60,3 +60,61 @@ def test_shared_trees(spark):
 def test_empty(spark):
     assert classify(files(spark), symbols(spark, [])).count() == 0
     assert classify(files(spark, "a/b.py"), symbols(spark, [])).collect()[0]["reason"] is None
+
+
+LICENCE = "/*\n" + " * Redistribution and use are permitted.\n" * 200 + " * @generated by foo\n */\n"
+
+
+def test_headers_anywhere_above_the_code(spark):
+    cases = {
+        "a/src/1.c": ('#include "x.h"\n#include <y.h>\n// <auto-generated>\n//   Tool: foo 2.3\n// </auto-generated>\nint a;\n', "generated header"),
+        "a/src/2.ts": ("import { a,\n  b } from './generated';\nimport type C from '@generated/c';\n/*\n * This file was produced automatically from x.yaml. Manual changes will be overwritten.\n */\nexport class A {}\n", "generated header"),
+        "a/src/3.ts": ("import C from '@generated/c';\nimport { d } from './auto-generated by';\nexport class A {}\n", None),
+        "a/src/4.js": (LICENCE + "let a = 1;\n", "generated header"),
+        "a/src/5.py": ('"""Client.\n\n' + "Longer and longer. " * 500 + '\nDo not edit.\n"""\nimport os\n', "generated header"),
+        "a/src/6.py": ("from a.b import (\n  c,\n)\n# Copied verbatim from foo 1.2\nx = 1\n", "vendored header"),
+        "a/src/7.py": ("x = 1\n# Code generated by foo. DO NOT EDIT.\n", None),  # below code: said of what follows
+        "a/src/8.py": ("# The ids below are generated by the server.\nx = 1\n", None),
+        "a/src/9.py": ("# Please do not edit the order of the fields; readers depend on it.\nx = 1\n", None),
+        "a/src/10.js": ("// Auto-generated method stub\nfunction f() { return 1; }\n", None),
+        "a/src/11.py": ("# Wrapper around the parser which was generated by bison.\nx = 1\n", None),
+        "a/src/12.go": ("package main\n\nimport (\n\t\"fmt\"\n)\n\n// Code generated by stringer; DO NOT EDIT.\n\nvar x = 1\n", "generated header"),
+    }
+    s = spark.createDataFrame([(f"{p}:m", "m", "module", p, 1, c, T0, "z") for p, (c, _) in cases.items()], S)
+    got = {r["path"]: r["reason"] for r in classify(files(spark, *cases), s).collect()}
+    assert got == {p: r for p, (_, r) in cases.items()}
+
+
+def test_compiled(spark):
+    cases = {
+        "a/src/1.js": ('"use strict";\nObject.defineProperty(exports, "__esModule", { value: true });\nexports.x = 1;\n', "compiled"),
+        "a/src/2.js": ('"use strict";\nvar __awaiter = (this && this.__awaiter) || function () {};\n', "compiled"),
+        "a/src/3.js": ("let a = 1;\n//# sourceMappingURL=3.js.map\n", "compiled"),
+        "a/src/4.js": ("/***/ 33:\n/***/ ((module, exports, __webpack_require__) => {\n", "compiled"),
+        "a/src/5.js": ("const mark = '//# sourceMappingURL=';\n// strips what __webpack_require__ leaves behind\n", None),
+        "a/src/6.js": ("function _interopRequireDefault(obj) { return obj; }\n", "compiled"),
+    }
+    s = spark.createDataFrame([(f"{p}:m", "m", "module", p, 1, c, T0, "z") for p, (c, _) in cases.items()], S)
+    got = {r["path"]: r["reason"] for r in classify(files(spark, *cases), s).collect()}
+    assert got == {p: r for p, (_, r) in cases.items()}
+
+
+def test_copies_that_differ_in_form(spark):
+    code = PLAIN * 3
+    other = "/* taken over */\n" + code.replace("    ", "\t").replace("\n", "\r\n")
+    rows = [("a/own/x.py", code, "print(1)" * 40), ("b/deep/down/y.py", other, "print(1)" * 40), ("b/deep/down/z.py", PLAIN, None), ("c/lib/p/x.py", code, None), ("c/lib/p/read.md", None, None), ("d/q/x.py", code, None), ("d/q/note.md", "", None), ("e/one.py", code, None)]
+    s = []
+    for p, c, d in rows:
+        s.append((f"{p}:1", "m", "function", p, 1, c, T0, "z"))
+        if d:
+            s.append((f"{p}:2", "n", "function", p, 50, d, T0, "z"))
+    got = {r["path"]: r["reason"] for r in classify(files(spark, *[r[0] for r in rows]), spark.createDataFrame(s, S)).collect()}
+    assert got["a/own/x.py"] == got["b/deep/down/y.py"] == "shared file"  # two symbols each, not the same names
+    assert got["b/deep/down/z.py"] is None and got["e/one.py"] is None  # one function alone is no file taken over
+    assert got["c/lib/p/x.py"] == got["c/lib/p/read.md"] == got["d/q/x.py"] == got["d/q/note.md"] == "shared tree"
+
+
+def test_lock_files_and_vendored_settings(spark):
+    paths = {"a/package-lock.json": "generated name", "a/x/yarn.lock": "generated name", "a/node_modules/x/package.json": "vendored path", "a/config/prod.json": None}
+    got = {r["path"]: r["reason"] for r in classify(files(spark, *paths), symbols(spark, [])).collect()}
+    assert got == paths
