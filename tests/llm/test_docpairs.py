@@ -41,8 +41,8 @@ def test_says_nothing(name, doc, code):
 SCHEMA = "id string, name string, kind string, file_path string, source_code string, doc_comment string, metadata map<string,string>, updated_at timestamp, description int, inherits int"
 
 
-def row(i, name, kind, code, doc=None, parent=None, at=1):
-    return (i, name, kind, "a.py", code, doc, {"parent": parent} if parent else None, dt.datetime(2024, 1, at), 1, 1)
+def row(i, name, kind, code, doc=None, parent=None, at=1, file="a.py"):
+    return (i, name, kind, file, code, doc, {"parent": parent} if parent else None, dt.datetime(2024, 1, at), 1, 1)
 
 
 def test_inherited_documentation_and_versions(spark):
@@ -62,8 +62,91 @@ def test_inherited_documentation_and_versions(spark):
         row("empty", "empty", "function", "", "# Keeps the disk in step with the cache."),
     ]
     got = {r["id"]: r["from_id"] for r in doc_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {"B.run": "B.run", "C.run": "B.run", "new": "new"}
+    assert got == {"B.run": "B.run", "M.run": "B.run", "C.run": "B.run", "new": "new"}
 
 
 def test_empty(spark):
     assert doc_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+SAID = "# Opens the local socket before anything is sent."
+OTHER = "# Renders all the invoices of one month."
+
+
+def test_bases_are_told_apart_by_file_import_and_repository(spark):
+    rows = []
+
+    def base(file, doc, name="Base"):
+        rows.extend([row(f"{file}:{name}", name, "class", f"class {name}:\n  pass", file=file), row(f"{file}:{name}.run", "run", "method", "def run(self): pass", doc, name, file=file)])
+
+    def kid(file, head, name="Kid", text=None):
+        rows.extend([row(f"{file}:{name}", name, "class", head, file=file), row(f"{file}:{name}.run", "run", "method", "def run(self): pass", None, name, file=file)])
+        if text:
+            rows.append(row(f"{file}:m", "m", "module", text, file=file))
+
+    base("a0/z.py", OTHER)
+    base("r1/a.py", SAID)
+    kid("r1/sub/b.py", "class Kid(Base):\n  pass")  # the repository's own, though a0/z.py comes first
+    base("r2/x/one.py", OTHER)
+    base("r2/y/two.py", SAID)
+    kid("r2/c.py", "@dec(a=(1))\nclass Kid(two.Base, metaclass=Meta):\n  pass", text="import os\nfrom y.two import (\n  Other,\n  Base,\n)\n")
+    kid("r2/x/d.py", "class Kid(Base):\n  pass")  # the one in the same directory
+    base("r2/e.py", SAID)
+    kid("r2/e.py", "class Kid(Base):\n  pass", name="Near")  # the one in the same file
+    kid("r3/f.py", "class Kid(Base):\n  pass")  # nobody's
+    base("r4/lib/index.ts", SAID)
+    base("r4/b.ts", OTHER)
+    kid("r4/src/g.ts", "/** Kid of the base. */\nexport abstract class Kid<T extends Foo> extends Base<T> implements Bar {\n}", text="import {\n  Base,\n} from '../lib';\n")
+    kid("r4/src/long.ts", "/*" + " and so on\n" * 900 + "*/\nexport class Kid extends Base {\n}")
+    got = {r["id"]: (r["from_id"], r["description"]) for r in doc_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    source = {k: v[0] for k, v in got.items() if k != v[0]}
+    assert source == {
+        "r1/sub/b.py:Kid.run": "r1/a.py:Base.run",
+        "r2/c.py:Kid.run": "r2/y/two.py:Base.run",
+        "r2/x/d.py:Kid.run": "r2/x/one.py:Base.run",
+        "r2/e.py:Near.run": "r2/e.py:Base.run",
+        "r4/src/g.ts:Kid.run": "r4/lib/index.ts:Base.run",
+        "r4/src/long.ts:Kid.run": "r4/b.ts:Base.run",
+    }
+
+
+def test_deep_cyclic_and_branching_hierarchies_against_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    rows, bases, docs, methods = [], {}, {}, []
+    for i in range(60):
+        up = rng.sample(range(60), rng.choice([0, 1, 1, 2])) if i >= 12 else [i + 1]  # 0 .. 12: a chain of twelve levels; cycles elsewhere
+        bases[i] = [b for b in up if b != i]
+        rows.append(row(f"c{i:02d}", f"C{i}", "class", f"class C{i}({', '.join(f'C{b}' for b in bases[i])}):\n  pass"))
+        for m in ("go", "stop"):
+            doc = f"# Tells the {m} number {i} of all the open sockets." if (i == 12 and m == "go") or (i > 12 and rng.random() < 0.2) else None
+            rows.append(row(f"c{i:02d}.{m}", m, "method", f"def {m}(self): pass", doc, f"C{i}"))
+            methods.append((i, m))
+            if doc:
+                docs[i, m] = f"c{i:02d}.{m}"
+    want = {}
+    for i, m in methods:
+        if (i, m) in docs:
+            want[f"c{i:02d}.{m}"] = docs[i, m]
+            continue
+        seen, level = set(), {i: ()}
+        while level:
+            reached = {}
+            for c, way in level.items():
+                for place, b in enumerate(bases[c]):
+                    if b not in seen and (b not in reached or (*way, place) < reached[b]):
+                        reached[b] = (*way, place)
+            hits = sorted((way, docs[c, m]) for c, way in reached.items() if (c, m) in docs)
+            if hits:
+                want[f"c{i:02d}.{m}"] = hits[0][1]
+                break
+            seen |= set(reached)
+            level = reached
+    got = {r["id"]: r["from_id"] for r in doc_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want and got["c00.go"] == "c12.go"
+
+
+def test_documentation_behind_long_signatures(spark):
+    wide = "def f(\n" + "".join(f"    a{i}: int = {i},\n" for i in range(3000)) + ') -> str:\n    """Keeps the queue in step with the disk."""\n'
+    assert describe(None, wide, "f") == "Keeps the queue in step with the disk."

@@ -54,3 +54,51 @@ def test_clashing_columns_and_empty_table(spark):
     df = spark.createDataFrame([("a", "x\n" * 3000, 1, 2, 3)], "id string, t string, k int, body int, piece_no int")
     assert split_items(df, "id", "t").agg(F.max(F.length("piece"))).first()[0] <= 2400
     assert split_items(df.limit(0), "id", "t").count() == 0
+
+
+def last_two(text):
+    return "".join(text.splitlines(True)[-2:])
+
+
+def test_the_body_yields_to_the_repeats(spark):
+    rng = random.Random(5)
+    texts = {f"n{n}": "".join(f"{i:03d} {'w' * (n - 5)}\n" for i in range(40)) for n in (50, 300, 700, 790, 795)}
+    texts |= {f"m{i}": "".join("q" * rng.randrange(0, 790) + "\n" for _ in range(80)) for i in range(12)}
+    df = spark.createDataFrame(list(texts.items()), "id string, t string")
+    rows = split_items(df, "id", "t").orderBy("id", "piece_no").collect()
+    assert rebuild(rows) == texts
+    for a, b in zip(rows, rows[1:], strict=False):
+        if a["id"] == b["id"]:
+            assert len(b["piece"]) <= 2400
+            assert b["overlap"] == last_two(texts[b["id"]][: texts[b["id"]].index(b["body"]) if b["id"][0] == "n" else None]) if b["id"][0] == "n" else b["overlap"]
+    at = 0
+    for b in (r for r in rows if r["id"][0] == "m"):
+        at = 0 if b["piece_no"] == 0 else at
+        if b["piece_no"]:
+            assert b["overlap"] == last_two(texts[b["id"]][:at])  # any two lines and a third fit
+        at += len(b["body"])
+
+
+def test_repeats_that_cannot_fit(spark):
+    text = ("a" * 1500 + "\n") * 6 + "b" * 5000 + "\n" + "c\n" * 900
+    rows = split_items(spark.createDataFrame([("a", text)], "id string, t string"), "id", "t").orderBy("piece_no").collect()
+    at = 0
+    for r in rows:
+        two = last_two(text[:at])
+        body = r["body"]
+        at += len(body)
+        if r["piece_no"] == 0:
+            continue
+        if text[at - len(body) - 1] == "\n" and len(two) + len(body) <= 2400:
+            assert r["overlap"] == two
+        else:
+            assert r["overlap"] == ""
+            if text[at - len(body) - 1] == "\n":  # not even one line fits behind the repeats
+                assert len(two) + len(text[at - len(body) :].split("\n", 1)[0]) + 1 > 2400
+    assert "".join(r["body"] for r in rows) == text
+    # other limits and numbers of lines
+    for limit, lines in ((10, 1), (37, 3), (200, 0)):
+        got = split_items(spark.createDataFrame([("a", text[-4000:])], "id string, t string"), "id", "t", limit=limit, overlap_lines=lines).orderBy("piece_no").collect()
+        assert "".join(r["body"] for r in got) == text[-4000:] and max(len(r["piece"]) for r in got) <= limit
+        tail = [r for r in got if set(r["body"]) <= {"c", "\n"}][3:]
+        assert all(r["overlap"] == "c\n" * lines for r in tail)
