@@ -28,6 +28,8 @@ PLACEHOLDER = re.compile(
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9 ]* )?PRIVATE KEY(?: BLOCK)?-----")
 BLOCK_END = re.compile(r"-----END (?:[A-Z0-9 ]* )?PRIVATE KEY(?: BLOCK)?-----")
 BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
+#: What may stand between the lines of a key block: its headers, line ends however written, marks of strings and comments.
+BETWEEN = re.compile(r"(?:\s|\\[nrt]|[\"'`+,\\#*/|.()-]|(?<=\n)[ \t#*/\"']*(?:Proc-Type|DEK-Info|Comment|Version|Hash|Charset|MessageID):[^\n]*|[A-Za-z0-9+/=]{1,15}(?=[ \t\r]*(?:\n|\\[nrt]|[\"'`])))*")
 QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n$]|\\.)*`"
 CHAIN = re.compile(rf"(?:{QUOTED})(?:[ \t]*(?:[+.&]|\.\.|\\)?[ \t]*\\?\n?[ \t]*(?:{QUOTED}))*")
 LITERAL = re.compile(QUOTED)
@@ -35,6 +37,8 @@ ASSIGN = re.compile(r"(?<![\w$])([\"']?)([A-Za-z_$][\w$.-]*)\1(?:\[\])?[ \t]*(?:
 DEFINE = re.compile(r"#[ \t]*define[ \t]+(\w+)[ \t]+(?=[\"'])")
 BARE = re.compile(r"[^\s'\"`#;,(){}\[\]<>][^\s'\"`;,(){}\[\]<>]*")
 CONFIG_LINE = re.compile(r"^[ \t]*(?:-[ \t]+)?(?:export[ \t]+|set[ \t]+|ENV[ \t]+|declare[ \t]+-x[ \t]+)?([A-Za-z_][\w.-]*)[ \t]*(?:=|:[ \t])[ \t]*(?=[^\s'\"=])")
+#: The bare value of a setting or of a list's item.
+SCALAR = re.compile(r"^[ \t]*(?:-[ \t]+)?(?:(?:export[ \t]+|set[ \t]+|ENV[ \t]+)?[A-Za-z_][\w./-]*[ \t]*(?:=|:[ \t])[ \t]*|-[ \t]+)([^\s'\"#]{12,})[ \t\r]*(?:#.*)?$")
 URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@'\"`<>]*:([^\s@/'\"`<>]+)@[\w\[]")
 HEADER = re.compile(r"(?i)\b(?:proxy-)?authorization\b[\"']?[ \t]*[:=,][ \t]*[\"'`]?(?:basic|bearer|token|apikey|digest)[ \t]+([A-Za-z0-9+/=_.~-]{6,})|(?i:\bbearer[ \t]+)([A-Za-z0-9+/=_.~-]{16,})")
 KEYHEADER = re.compile(r"(?i)\bx-[\w-]*(?:key|token|secret|auth)[\w-]*[\"']?[ \t]*[:,][ \t]*[\"'`]?([A-Za-z0-9+/=_.~-]{12,})")
@@ -46,12 +50,12 @@ SPOKEN = re.compile(r"(?i)(?:^|[ \t])(?://|#|\*|--|;)[^\n]*?\b(?:(?:old|prod|tes
 #: A line is looked at if it holds one of these, in any case, or LONG matches: all that any rule can begin with.
 KEYWORDS = ("pass", "pwd", "psk", "secret", "token", "key", "auth", "cred", "login", "log_in", "signin", "sign_in", "connect", "works with", "rotate me", "temp", "sig=", "-u ", "-u=", "--user", "--proxy-user", "mysql", "-----begin", "bearer", "environ", "getenv", ".env", "akia", "asia", "abia", "acca", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "sk-", "xox", "xapp-", "eyj", "aiza", "ya29.", "npm_", "pypi-", "sg.", "hf_", "dop_v1", "shpat_", "shpca_", "shppa_", "shpss_")
 LONG = re.compile(
-    r"[\"'`][A-Za-z0-9+/=_-]{20,}[\"'`]|%[0-9A-Fa-f]{2}|\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{3})|://[^\s/:]*:[^\s/]*@|SK[0-9a-f]{32}"
+    r"[=:-][ \t]*[A-Za-z0-9+/=_-]{12,}[ \t\r]*(?:$|\n|#)|[\"'`][A-Za-z0-9+/=_-]{12,}[\"'`]|%[0-9A-Fa-f]{2}|\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{3})|://[^\s/:]*:[^\s/]*@|SK[0-9a-f]{32}"
     r"|[\"'`][ \t]*(?:[+.&]|\.\.|\\)?[ \t]*\\?\n?[ \t]*(?=[\"'`])"
 )
 #: What matches i, k and s where case is ignored, besides their capitals.
 FOLD = str.maketrans("İıKſ", "iiks")
-PACKED = re.compile(r"^(?:[A-Za-z0-9+/_-]{20,}={0,2}|(?:%[0-9A-Fa-f]{2}|[\w.~+/=-]){20,}|(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}|[\x20-\x5b\x5d-\x7e]){20,})$")
+PACKED = re.compile(r"^(?:[A-Za-z0-9+/_-]{12,}={0,2}|(?:%[0-9A-Fa-f]{2}|[\w.~+/=-]){12,}|(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}|[\x20-\x5b\x5d-\x7e]){12,})$")
 
 
 class Secret(NamedTuple):
@@ -154,7 +158,7 @@ def unpack(value: str) -> list[bytes]:
     out = []
     if re.fullmatch(r"(?:[0-9a-fA-F]{2}){16,}", value):
         out.append(bytes.fromhex(value))
-    if len(value) >= 20 and re.fullmatch(r"[A-Za-z0-9+/_-]+={0,2}", value):
+    if len(value) >= 12 and re.fullmatch(r"[A-Za-z0-9+/_-]+={0,2}", value):
         try:
             out.append(base64.b64decode(value.rstrip("=").replace("-", "+").replace("_", "/") + "=" * (-len(value.rstrip("=")) % 4), validate=True))
         except (binascii.Error, ValueError):
@@ -166,11 +170,16 @@ def unpack(value: str) -> list[bytes]:
     return out
 
 
-def hidden(value: str, depth: int = 4) -> str | None:
-    """The kind of a credential inside an encoded literal, looked for layer by layer; None if there is none."""
-    if depth == 0 or not PACKED.match(value):
+def hidden(value: str) -> str | None:
+    """The kind of a credential inside an encoded literal, looked for layer by layer; None if there is none.
+
+    Each layer is shorter than the one around it, which ends the recursion.
+    """
+    if not PACKED.match(value):
         return None
     for data in unpack(value):
+        if len(data) >= len(value):
+            continue
         if key_container(data):
             return "key container"
         try:
@@ -188,7 +197,7 @@ def hidden(value: str, depth: int = 4) -> str | None:
         for m in ASSIGN.finditer(text):
             if secret_name(m[2]) and (b := BARE.match(text, m.end()) or LITERAL.match(text, m.end())) and plausible(b[0].strip("\"'`")):
                 return "encoded assignment"
-        if kind := hidden(text.strip(), depth - 1):
+        if kind := hidden(text.strip()):
             return kind
     return None
 
@@ -249,8 +258,13 @@ def scan(code: str | None, path: str | None = None) -> list[Secret]:
         text = code[a:b]
         if m := BLOCK.search(text):
             end = BLOCK_END.search(code, a + m.end())
-            stop = end.start() if end else min(len(code), a + m.end() + 8000)
-            body = tuple((x.start(), x.end()) for x in BODY.finditer(code, a + m.end(), stop))
+            stop = end.start() if end else len(code)
+            body, last = (), a + m.end()
+            for x in BODY.finditer(code, a + m.end(), stop):  # as far as the block goes, which may lack an end
+                if not BETWEEN.fullmatch(code, last, x.start()):
+                    break
+                body, last = (*body, x.span()), x.end()
+            stop = stop if end and BETWEEN.fullmatch(code, last, stop) else last
             if sum(y - x for x, y in body) >= 32:
                 add("private key", a + m.start(), *body)
                 skip_to = stop
@@ -275,7 +289,7 @@ def scan(code: str | None, path: str | None = None) -> list[Secret]:
             value, spans = _pieces(code, m)
             if len(spans) > 1 and (t := TOKEN.search(value)) and not PLACEHOLDER.search(t[0]) and len(set(t[0])) > 8:
                 add("joined token", m.start(), *spans)
-            elif len(value) >= 20 and not value.startswith(("data:", "sha")) and (kind := hidden(value)):
+            elif len(value) >= 12 and not value.startswith(("data:", "sha")) and (kind := hidden(value)):
                 add(kind, m.start(), *spans)
         for p in (ASSIGN, DEFINE):
             for m in p.finditer(text):
@@ -286,6 +300,8 @@ def scan(code: str | None, path: str | None = None) -> list[Secret]:
                     value, spans = _pieces(code, c)
                     if plausible(value):
                         add("assignment", c.start(), *spans)
+        if config and (m := SCALAR.match(text)) and (kind := hidden(m[1])):
+            add(kind, a + m.start(1), (a + m.start(1), a + m.end(1)))
         if (m := CONFIG_LINE.match(text)) and secret_name(m[1]) and (config or not re.search(r"[;(){}]\s*$", text)):
             v = text[m.end() :]
             v = re.split(r"[ \t]+#", v, maxsplit=1)[0].rstrip()
