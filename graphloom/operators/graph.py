@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.storage import cut
 
 
-def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, id, depth): what each root reaches over (a, b) edges within ``depth`` steps, with the least depth.
+def reach(edges: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
+    """(root, id, depth): what each root reaches over (a, b) edges within ``depth`` steps (None: all), with the least depth.
 
     Breadth first over all roots at once. Each round expands the last frontier and drops what was seen; the roots
     themselves are at depth 0.
@@ -17,7 +19,7 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     edges = cut(edges.select("a", "b").distinct(), "reach-edges")
     frontier = cut(roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct(), "frontier")
     seen = frontier
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(edges, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
         frontier = cut(step.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(d).alias("depth")), "frontier")
         if frontier.isEmpty():
@@ -29,32 +31,45 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     """(src, dst, hops, path): for each asked pair the least path among the shortest, within ``depth`` hops.
 
-    Breadth first from the sources; every node keeps the least path (as text) of those that reach it first, which
-    is the least among all shortest ones of its kind.
+    Breadth first from both ends, half of the depth each, so a search takes in the square root of what one from a
+    single end would. Every node keeps the least way (as an array) of those that reach it first; where both searches
+    meet, the least way there and the least way on make the least path.
     """
     edges = cut(edges.select("a", "b").distinct(), "path-edges")
-    start = pairs.select("src").distinct()
-    frontier = cut(start.select("src", F.col("src").alias("id"), F.array("src").alias("path")), "paths")
-    seen = frontier
-    for _ in range(depth):
-        step = frontier.join(edges, F.col("id") == F.col("a")).select("src", F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
-        step = step.groupBy("src", "id").agg(F.min("path").alias("path"))
-        frontier = cut(step.join(seen.select("src", "id"), ["src", "id"], "left_anti").select("src", "id", "path"), "paths")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return pairs.join(seen.withColumnRenamed("id", "dst"), ["src", "dst"]).select("src", "dst", (F.size("path") - 1).alias("hops"), "path")
-
-
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+    pairs = pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+
+    def half(ends: DataFrame, rounds: int, forth: bool) -> DataFrame:
+        from_, to = ("a", "b") if forth else ("b", "a")
+        frontier = cut(ends.select("end", F.col("end").alias("id"), F.array("end").alias("way")), "paths")
+        seen = frontier
+        for _ in range(rounds):
+            way = F.concat("way", F.array(to)) if forth else F.concat(F.array(to), "way")
+            step = frontier.join(edges, F.col("id") == F.col(from_)).select("end", F.col(to).alias("id"), way.alias("way"))
+            step = step.groupBy("end", "id").agg(F.min("way").alias("way"))
+            frontier = cut(step.join(seen.select("end", "id"), ["end", "id"], "left_anti").select("end", "id", "way"), "paths")
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+        return seen
+
+    there = half(pairs.select(F.col("src").alias("end")).distinct(), depth - depth // 2, True)
+    back = half(pairs.select(F.col("dst").alias("end")).distinct(), depth // 2, False)
+    met = pairs.join(there.select(F.col("end").alias("src"), "id", F.col("way").alias("w1")), "src").join(back.select(F.col("end").alias("dst"), "id", F.col("way").alias("w2")), ["dst", "id"])
+    hops = F.size("w1") + F.size("w2") - 2
+    # Of the places where the searches meet on a shortest path those as far from the source as can be are compared.
+    best = met.groupBy("src", "dst").agg(F.min(F.struct(hops.alias("hops"), (-F.size("w1")).alias("far"), F.concat("w1", F.slice("w2", 2, depth + 1)).alias("path"))).alias("m"))
+    return best.select("src", "dst", "m.hops", "m.path")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): connected components, named by their least id.
 
-    Alternating large-star and small-star steps: a logarithmic number of rounds, each a few aggregations, and no
+    Alternating large-star and small-star steps until nothing changes: a logarithmic number of rounds, each a few aggregations, and no
     node's whole neighbourhood in one place but as a minimum.
     """
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -92,21 +107,54 @@ def clustering(edges: DataFrame) -> DataFrame:
     return deg.join(triangles(edges), "id", "left").select("id", "degree", F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"), (2 * F.coalesce("triangles", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))).alias("coefficient"))
 
 
-def cycles(edges: DataFrame, longest: int) -> DataFrame:
-    """(length, chain): the simple cycles of 2 to ``longest`` nodes, each starting at its least node.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component): the nodes of strongly connected components of two nodes or more, named by their greatest id.
 
-    Walks only visit nodes greater than their start, and only nodes that lie on some cycle: whatever has no way in or
-    no way out is peeled off first.
+    By colours: the greatest id that reaches a node is its colour, and what reaches that id within its colour is a
+    component. Edges between colours are on no cycle and drop out; what a round leaves goes on to the next.
     """
-    e = cut(edges.select("a", "b").where("a <> b").distinct(), "cycle-edges")
-    before = -1
+    e = cut(edges.select("a", "b").where("a <> b AND a IS NOT NULL AND b IS NOT NULL").distinct(), "scc-edges")
+    out = e.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
     while True:
-        e2 = cut(e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "cycle-edges")
-        n = e2.count()
-        e = e2
-        if n in (0, before):
-            break
-        before = n
+        # Nodes without a way in or out are on no cycle; more of them go with the colours.
+        e = cut(e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "scc-edges")
+        if e.isEmpty():
+            return out
+        colour = cut(e.select(F.col("a").alias("id")).union(e.select("b")).distinct().withColumn("c", F.col("id")), "scc-colours")
+        before = None
+        while True:
+            got = e.join(colour, F.col("a") == F.col("id")).groupBy("b").agg(F.max("c").alias("m"))
+            colour = cut(colour.join(got, F.col("id") == F.col("b"), "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c")), "scc-colours")
+            now = colour.agg(F.sum(F.xxhash64("id", "c").cast("decimal(20,0)"))).first()[0]
+            if now == before:
+                break
+            before = now
+        tint = lambda k: colour.select(F.col("id").alias(k), F.col("c").alias(f"c_{k}"))
+        e = cut(e.join(tint("a"), "a").join(tint("b"), "b").where("c_a = c_b").select("a", "b"), "scc-edges")
+        frontier = cut(colour.where("id = c"), "scc-reached")
+        reached = frontier
+        while True:
+            step = frontier.join(e, F.col("id") == F.col("b")).select(F.col("a").alias("id"), "c").distinct()
+            frontier = cut(step.join(reached.select("id"), "id", "left_anti"), "scc-reached")
+            if frontier.isEmpty():
+                break
+            reached = reached.unionByName(frontier)
+        sizes = reached.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
+        out = out.unionByName(cut(reached.join(sizes, "c", "left_semi").select("id", F.col("c").alias("component")), "scc"))
+        e = e.join(reached.select(F.col("id").alias("a")), "a", "left_anti").join(reached.select(F.col("id").alias("b")), "b", "left_anti")
+
+
+def _cyclic(edges: DataFrame) -> DataFrame:
+    """The edges that lie on cycles: both ends in one strong component."""
+    scc = cut(strong_components(edges), "scc")
+    at = lambda k: scc.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))
+    return cut(edges.select("a", "b").distinct().join(at("a"), "a").join(at("b"), "b").where("c_a = c_b AND a <> b").select("a", "b"), "cycle-edges")
+
+
+def cycles(edges: DataFrame, longest: int) -> DataFrame:
+    """(length, chain): all simple cycles of 2 to ``longest`` nodes, each starting at its least node; walks only visit
+    nodes greater than their start within its strong component."""
+    e = _cyclic(edges)
     walk = e.where("a < b").select(F.col("a").alias("s"), F.col("b").alias("at"), F.array("a", "b").alias("chain"))
     found = None
     for n in range(2, longest + 1):
@@ -118,14 +166,39 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
     return found
 
 
-def levels(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def shortest_cycles(edges: DataFrame) -> DataFrame:
+    """(length, chain): the shortest cycle through each node that lies on one, of any length, each cycle once.
+
+    Of several shortest ones that with the least chain, read from the node on, counts; chains begin at their least
+    node. Self-loops are no cycles. Only edges within strong components are followed, and a node's search ends where
+    it comes back to it, so what is on no cycle costs nothing.
+    """
+    e = _cyclic(edges)
+    frontier = cut(e.select(F.col("a").alias("s"), F.col("b").alias("id"), F.array("a", "b").alias("way")), "walks")
+    seen, found = frontier, None
+    while not frontier.isEmpty():
+        step = frontier.join(e, F.col("id") == F.col("a")).select("s", F.col("b").alias("id"), "way", F.concat("way", F.array("b")).alias("next"))
+        step = cut(step.groupBy("s", "id").agg(F.min("next").alias("next")), "walks")
+        home = step.where("id = s").select("s", F.slice("next", 1, F.size("next") - 1).alias("chain"))
+        found = home if found is None else found.unionByName(home)
+        on = step.where("id <> s").join(home.select("s"), "s", "left_anti").join(seen.select("s", "id"), ["s", "id"], "left_anti")
+        frontier = cut(on.select("s", "id", F.col("next").alias("way")), "walks")
+        seen = seen.unionByName(frontier)
+    if found is None:
+        return e.select(F.lit(0).alias("length"), F.array("a").alias("chain")).limit(0)
+    place = F.array_position("chain", F.array_min("chain")).cast("int")
+    turned = F.concat(F.slice("chain", place, F.size("chain")), F.slice("chain", 1, place - 1))
+    return found.select(F.size("chain").alias("length"), turned.alias("chain")).distinct()
+
+
+def levels(edges: DataFrame) -> DataFrame:
     """(id, level): the length of the longest way down to each node of a DAG over (a, b) edges; nodes on cycles and
     behind them never settle and are left out."""
     e = cut(edges.select("a", "b").where("a <> b").distinct(), "level-edges")
     nodes = cut(e.select(F.col("a").alias("id")).union(e.select("b")).distinct(), "level-nodes")
     done, level = None, 0
     left, rest = nodes, e
-    for level in range(rounds):
+    for level in count():
         free = cut(left.join(rest.select(F.col("b").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)), "level")
         if free.isEmpty():
             break

@@ -81,12 +81,20 @@ def substring_links(left: DataFrame, right: DataFrame, text: str, needle: str, g
     """left × right rows where ``text`` contains ``needle``, without a nested loop.
 
     Every needle meets texts only on its rarest n-gram among those of all texts; the containment itself is checked
-    afterwards. Needles shorter than ``gram`` characters are not looked for here.
+    afterwards. A needle shorter than ``gram`` characters is its own gram. Null and empty needles and texts match nothing.
     """
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - gram + 1)), lambda i: F.substr(c, i, F.lit(gram)))
-    t = left.where(F.length(text) >= gram).select(*left.columns, F.explode(F.array_distinct(grams(F.col(text)))).alias("__g"))
-    n = right.where(F.length(needle) >= gram)
-    freq = t.groupBy("__g").agg(F.count("*").alias("__n"))
-    each = n.select(needle, F.explode(F.array_distinct(grams(F.col(needle)))).alias("__g")).distinct().join(freq, "__g", "left")
-    rare = each.groupBy(needle).agg(F.min_by("__g", F.struct(F.coalesce("__n", F.lit(0)), "__g")).alias("__g"))
-    return n.join(rare, needle).join(t, "__g").where(F.col(text).contains(F.col(needle))).drop("__g")
+
+    def by(size: int, needles: DataFrame) -> DataFrame:
+        grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - size + 1)), lambda i: F.substr(c, i, F.lit(size)))
+        t = left.where(F.length(text) >= size).select(*left.columns, F.explode(F.array_distinct(grams(F.col(text)))).alias("__g"))
+        if size < gram:
+            return needles.withColumn("__g", F.col(needle)).join(t, "__g").drop("__g")
+        freq = t.groupBy("__g").agg(F.count("*").alias("__n"))
+        each = needles.select(needle, F.explode(F.array_distinct(grams(F.col(needle)))).alias("__g")).distinct().join(freq, "__g", "left")
+        rare = each.groupBy(needle).agg(F.min_by("__g", F.struct(F.coalesce("__n", F.lit(0)), "__g")).alias("__g"))
+        return needles.join(rare, needle).join(t, "__g").where(F.col(text).contains(F.col(needle))).drop("__g")
+
+    out = by(gram, right.where(F.length(needle) >= gram))
+    for size in range(1, gram):
+        out = out.unionByName(by(size, right.where(F.length(needle) == size)))
+    return out

@@ -63,15 +63,19 @@ _UND = "SELECT src AS a, dst AS b FROM edg WHERE src IN (SELECT id FROM sym) AND
 @query(
     "grf03_shortest_path",
     sql(
-        "q AS (SELECT min(id) AS src, max(id) AS dst FROM sym WHERE kind = 'class' GROUP BY layer), "
-        + _walk("SELECT DISTINCT src AS root, src AS id FROM q", _UND, 6, "SELECT q.src, q.dst, depth AS hops FROM q JOIN reach ON reach.root = q.src AND reach.id = q.dst")
+        "q AS (SELECT DISTINCT min(id) AS src, max(id) AS dst FROM sym WHERE kind = 'class' GROUP BY layer), "
+        + _walk("SELECT DISTINCT src AS root, src AS id FROM q UNION SELECT dst, dst FROM q", _UND, 6, "")
+        + f""", h AS (SELECT q.src, q.dst, x.depth AS hops FROM q JOIN reach x ON x.root = q.src AND x.id = q.dst),
+p(src, dst, hops, here, path, k) AS (SELECT src, dst, hops, src, [src], 0 FROM h UNION ALL SELECT p.src, p.dst, p.hops, e.b, list_append(p.path, e.b), k + 1 FROM p JOIN (SELECT DISTINCT a, b FROM ({_UND})) e ON e.a = p.here JOIN reach x ON x.root = p.dst AND x.id = e.b AND x.depth = p.hops - p.k - 1 WHERE k < hops)
+SELECT src, dst, hops, array_to_string(min(path), ' > ') AS path FROM p WHERE k = hops GROUP BY 1, 2, 3""",
+        recursive=True,
     ),
 )
 def paths(g: Graph) -> DataFrame:
-    """Hops between the first and the last class of each layer, over edges in either direction."""
+    """The way from the first to the last class of each layer, over edges in either direction."""
     q = g.symbols("id", "kind", "layer").where("kind = 'class'").groupBy("layer").agg(F.min("id").alias("src"), F.max("id").alias("dst")).select("src", "dst")
     e = _undirected(g)
-    return O.shortest_paths(e.union(e.select("b", "a")), q, 6).select("src", "dst", "hops")
+    return O.shortest_paths(e.union(e.select("b", "a")), q, 6).select("src", "dst", "hops", F.array_join("path", " > ").alias("path"))
 
 
 _CALLS = "SELECT src AS a, dst AS b FROM edg WHERE kind = 'calls' AND dst IN (SELECT id FROM sym)"
@@ -88,30 +92,44 @@ def call_tree(g: Graph) -> DataFrame:
 _FILES = "f AS (SELECT DISTINCT a.file_path AS a, b.file_path AS b FROM edg e JOIN sym a ON a.id = e.src JOIN sym b ON b.id = e.dst WHERE e.kind = 'imports' AND a.file_path <> b.file_path)"
 
 
-@query(
-    "grf05_import_cycles",
-    sql(
-        _FILES
-        + """, c2 AS (SELECT x.a AS n1, x.b AS n2 FROM f x JOIN f y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b),
-c3 AS (SELECT x.a AS n1, x.b AS n2, y.b AS n3 FROM f x JOIN f y ON y.a = x.b JOIN f z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b)
-SELECT 2 AS length, n1 || ' > ' || n2 AS chain FROM c2 UNION ALL SELECT 3, n1 || ' > ' || n2 || ' > ' || n3 FROM c3"""
-    ),
+#: The shortest cycle through each file. The walk is bounded in SQL only.
+CYCLES_SQL = (
+    _FILES
+    + """, r(s, id, n) AS (SELECT a, b, 1 FROM f UNION SELECT r.s, f.b, r.n + 1 FROM r JOIN f ON f.a = r.id WHERE r.n < 14), d AS (SELECT s, id, min(n) AS n FROM r GROUP BY 1, 2),
+p(s, id, chain, k) AS (SELECT s, s, [s], n FROM d WHERE s = id UNION ALL SELECT p.s, f.b, list_append(p.chain, f.b), p.k - 1 FROM p JOIN f ON f.a = p.id JOIN d ON d.s = f.b AND d.id = p.s AND d.n = p.k - 1 WHERE p.k > 1),
+m AS (SELECT s, min(chain) AS chain FROM p WHERE k = 1 GROUP BY 1), t AS (SELECT chain, list_position(chain, list_min(chain)) AS i FROM m),
+cyc AS (SELECT DISTINCT len(chain)::INTEGER AS length, array_to_string(list_concat(chain[i:], chain[:i - 1]), ' > ') AS chain FROM t)"""
 )
-def import_cycles(g: Graph) -> DataFrame:
+
+
+def file_imports(g: Graph) -> DataFrame:
+    """(a, b): which file imports which other one."""
     ends = R.with_ends(g.edges("imports"), g.symbols("id", "file_path"), "file_path").where("src_file_path <> dst_file_path")
-    return O.cycles(ends.select(F.col("src_file_path").alias("a"), F.col("dst_file_path").alias("b")), 3).select("length", F.array_join("chain", " > ").alias("chain"))
+    return ends.select(F.col("src_file_path").alias("a"), F.col("dst_file_path").alias("b")).distinct()
+
+
+@query("grf05_import_cycles", sql(CYCLES_SQL + " SELECT length, chain FROM cyc", recursive=True))
+def import_cycles(g: Graph) -> DataFrame:
+    """Import cycles of any length: the shortest one through each file."""
+    return O.shortest_cycles(file_imports(g)).select("length", F.array_join("chain", " > ").alias("chain"))
+
+
+@query("grf05_strong_components", sql(_FILES + ", r(s, id) AS (SELECT a, b FROM f UNION SELECT r.s, f.b FROM r JOIN f ON f.a = r.id) SELECT x.s AS path, max(x.id) AS component FROM r x JOIN r y ON y.s = x.id AND y.id = x.s GROUP BY 1 HAVING count(DISTINCT x.id) > 1", recursive=True))
+def strong(g: Graph) -> DataFrame:
+    """The files that depend on one another, however far round."""
+    return O.strong_components(file_imports(g)).select(F.col("id").alias("path"), "component")
 
 
 @query(
     "grf06_components",
     sql(
-        """u AS (SELECT src AS a, dst AS b FROM edg WHERE kind IN ('extends', 'implements') AND src IN (SELECT id FROM sym) AND dst IN (SELECT id FROM sym)), b AS (SELECT a, b FROM u UNION SELECT b, a FROM u),
+        """u AS (SELECT src AS a, dst AS b FROM edg WHERE src IN (SELECT id FROM sym) AND dst IN (SELECT id FROM sym)), b AS (SELECT a, b FROM u UNION SELECT b, a FROM u),
 r(id, m) AS (SELECT id, id FROM sym UNION SELECT b.b, r.m FROM r JOIN b ON b.a = r.id) SELECT id, min(m) AS component FROM r GROUP BY 1""",
         recursive=True,
     ),
 )
 def components(g: Graph) -> DataFrame:
-    return O.components(g.symbols("id"), _undirected(g, "extends", "implements"))
+    return O.components(g.symbols("id"), _undirected(g))
 
 
 _TRI = """u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edg WHERE src <> dst AND src IN (SELECT id FROM sym) AND dst IN (SELECT id FROM sym)),
@@ -152,23 +170,22 @@ def review_scope(g: Graph) -> DataFrame:
     return O.reach(inc.union(hub), root, 3).where("depth > 0").select("id", (F.col("depth") - 1).alias("depth"))
 
 
-_DAG = "g AS (SELECT DISTINCT src AS a, dst AS b FROM edg WHERE kind = 'contains' AND src <> dst AND src IN (SELECT id FROM sym) AND dst IN (SELECT id FROM sym) AND src < dst), n AS (SELECT a AS id FROM g UNION SELECT b FROM g)"
+_DAG = "g AS (SELECT DISTINCT src AS a, dst AS b FROM edg WHERE kind = 'contains' AND src <> dst AND src IN (SELECT id FROM sym) AND dst IN (SELECT id FROM sym)), n AS (SELECT a AS id FROM g UNION SELECT b FROM g)"
 
 
 @query("grf12_dag_levels", sql(_DAG + ", r(id, level) AS (SELECT id, 0 FROM n WHERE id NOT IN (SELECT b FROM g) UNION SELECT g.b, r.level + 1 FROM r JOIN g ON g.a = r.id) SELECT id, max(level) AS level FROM r GROUP BY 1", recursive=True))
 def dag_levels(g: Graph) -> DataFrame:
-    """Longest-path levels of the containment graph, made acyclic by keeping edges to greater ids."""
-    e = _undirected(g, "contains").where("a < b")
-    return O.levels(e)
+    """Longest-path levels of the containment graph."""
+    return O.levels(_undirected(g, "contains"))
 
 
 @query("grf13_first_successors", sql(_DAG + ", s AS (SELECT a, min(b) AS b FROM g GROUP BY 1), r(root, id, step) AS (SELECT a, a, 0 FROM s WHERE a NOT IN (SELECT b FROM g) UNION ALL SELECT r.root, s.b, r.step + 1 FROM r JOIN s ON s.a = r.id) SELECT root, count(*) AS length, max(id) AS last FROM r GROUP BY 1", recursive=True))
 def first_successors(g: Graph) -> DataFrame:
     """Chains that always go on to the least successor; each round follows all of them one step."""
-    e = _undirected(g, "contains").where("a < b").distinct()
+    e = _undirected(g, "contains").where("a <> b").distinct()
     nxt = e.groupBy("a").agg(F.min("b").alias("b"))
     roots = nxt.select("a").join(e.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select(F.col("a").alias("root"))
-    return O.reach(nxt, roots, 50).groupBy("root").agg(F.count("*").alias("length"), F.max("id").alias("last"))
+    return O.reach(nxt, roots, None).groupBy("root").agg(F.count("*").alias("length"), F.max("id").alias("last"))
 
 
 @query("grf14_adjacency", sql("SELECT a.layer AS src_layer, count(*) FILTER (WHERE b.layer = 'interface') AS interface, count(*) FILTER (WHERE b.layer = 'business') AS business, count(*) FILTER (WHERE b.layer = 'data') AS data, count(*) FILTER (WHERE b.layer = 'utility') AS utility FROM edg e JOIN sym a ON a.id = e.src JOIN sym b ON b.id = e.dst GROUP BY 1"))

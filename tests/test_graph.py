@@ -108,3 +108,62 @@ def test_empty(spark):
     assert O.components(spark.createDataFrame([("q",)], "id string"), e).first()["component"] == "q"
     assert O.clustering(e).count() == 0 and O.cycles(e, 3).count() == 0
     assert O.reach(e, spark.createDataFrame([("q",)], "root string"), 2).count() == 1
+
+
+@SLOW
+@given(GRAPHS)
+def test_strong_components_shortest_cycles_and_least_paths(spark, edges):
+    near = {x: sorted({b for a, b in edges if a == x and b != x}) for x in NAMES}
+
+    def reach(x):
+        out, todo = set(), [x]
+        while todo:
+            for b in near[todo.pop()]:
+                if b not in out:
+                    out.add(b)
+                    todo.append(b)
+        return out
+
+    after = {x: reach(x) for x in NAMES}
+    scc = {x: max([x, *(y for y in after[x] if x in after[y])]) for x in NAMES if x in after[x]}
+    assert {r["id"]: r["component"] for r in O.strong_components(frame(spark, edges)).collect()} == scc
+
+    def least(src, dst):
+        level = [[src]]
+        seen = {src}
+        while level:
+            done = [p for p in level if len(p) > 1 and p[-1] == dst] if src == dst else [p for p in level if p[-1] == dst]
+            if done:
+                return min(done)
+            level = [[*p, b] for p in level for b in near[p[-1]] if b not in seen or b == dst]
+            seen |= {p[-1] for p in level}
+        return None
+
+    want = set()
+    for x in scc:
+        c = least(x, x)[:-1]
+        i = c.index(min(c))
+        want.add((*c[i:], *c[:i]))
+    assert {tuple(r["chain"]) for r in O.shortest_cycles(frame(spark, edges)).collect()} == want
+    pairs = [(a, b) for a in NAMES for b in NAMES if a != b]
+    got = {(r["src"], r["dst"]): r["path"] for r in O.shortest_paths(frame(spark, edges), spark.createDataFrame(pairs, "src string, dst string"), 6).collect()}
+    assert got == {p: least(*p) for p in pairs if least(*p)}
+
+
+def test_long_chains_and_rings(spark):
+    ring = [(f"r{i:03d}", f"r{(i + 1) % 12:03d}") for i in range(12)]
+    found = O.shortest_cycles(frame(spark, ring)).collect()
+    assert len(found) == 1 and found[0]["length"] == 12 and found[0]["chain"][0] == "r000"
+    chain = frame(spark, [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(110)])
+    assert O.levels(chain).agg({"level": "max"}).first()[0] == 110
+    assert O.reach(chain, spark.createDataFrame([("n000",)], "root string"), None).count() == 111
+    assert O.strong_components(chain).count() == 0
+
+
+def test_short_needles(spark):
+    from graphloom.operators.relations import substring_links
+
+    t = spark.createDataFrame([("pg",), ("lodash",), ("ws",), ("a",), ("",), (None,)], "pkg string")
+    n = spark.createDataFrame([("pg",), ("dash",), ("a",), ("s",), ("",), (None,), ("zz",)], "dep string")
+    got = sorted((r["pkg"], r["dep"]) for r in substring_links(t, n, "pkg", "dep").collect())
+    assert got == [("a", "a"), ("lodash", "a"), ("lodash", "dash"), ("lodash", "s"), ("pg", "pg"), ("ws", "s")]
