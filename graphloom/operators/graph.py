@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.storage import cut
 
+STEPS = 3  # steps along edges between two written tables, where a round's table is small
+
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
     """(root, id, depth): what each root reaches over (a, b) edges within ``depth`` steps (None: all), with the least depth.
@@ -123,8 +125,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         colour = cut(e.select(F.col("a").alias("id")).union(e.select("b")).distinct().withColumn("c", F.col("id")), "scc-colours")
         before = None
         while True:
-            got = e.join(colour, F.col("a") == F.col("id")).groupBy("b").agg(F.max("c").alias("m"))
-            colour = cut(colour.join(got, F.col("id") == F.col("b"), "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c")), "scc-colours")
+            for _ in range(STEPS):
+                got = e.join(colour, F.col("a") == F.col("id")).groupBy("b").agg(F.max("c").alias("m"))
+                colour = colour.join(got, F.col("id") == F.col("b"), "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"))
+            colour = cut(colour, "scc-colours")
             now = colour.agg(F.sum(F.xxhash64("id", "c").cast("decimal(20,0)"))).first()[0]
             if now == before:
                 break
@@ -134,7 +138,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         frontier = cut(colour.where("id = c"), "scc-reached")
         reached = frontier
         while True:
-            step = frontier.join(e, F.col("id") == F.col("b")).select(F.col("a").alias("id"), "c").distinct()
+            step = frontier
+            for _ in range(STEPS):
+                step = step.unionByName(step.join(e, F.col("id") == F.col("b")).select(F.col("a").alias("id"), "c")).distinct()
             frontier = cut(step.join(reached.select("id"), "id", "left_anti"), "scc-reached")
             if frontier.isEmpty():
                 break
