@@ -68,6 +68,15 @@ def recipes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(text).rlike(r"(?m)^(?:SRC_URI|DEPENDS|inherit)\b")).select(key, x("SUMMARY").alias("summary"), x("LICENSE").alias("license"), words(x("SRC_URI")).alias("src_uri"), words(x("DEPENDS")).alias("depends"), words(x(r"RDEPENDS[:_]?\S*")).alias("rdepends"), words(inherits).alias("inherits"))
 
 
+def buildroot(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, package, version, site, depends) of each package makefile, named by the prefix of its version."""
+    x = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    return docs.where(F.col(text).rlike(r"\$\(eval \$\([\w-]*package\)\)")).select(
+        key, x(r"(?m)^(\w+)_VERSION[ \t]*[:?]?=").alias("package"), x(r"(?m)^\w+_VERSION[ \t]*[:?]?=[ \t]*([^\r\n]+)").alias("version"), x(r"(?m)^\w+_SITE[ \t]*[:?]?=[ \t]*([^\r\n]+)").alias("site"),
+        _words(F.coalesce(x(r"(?m)^\w+_DEPENDENCIES[ \t]*[+:?]?=[ \t]*([^\r\n]+)"), F.lit(""))).alias("depends"),
+    )
+
+
 def matched(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(node key columns, driver key): device-tree nodes and drivers that name the same compatible string."""
     n = nodes.select(F.col("node"), F.explode("compatible").alias("c"))

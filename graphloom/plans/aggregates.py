@@ -11,7 +11,8 @@ from graphloom.operators import relations as R
 from graphloom.operators.ordering import global_rank
 from graphloom.operators.versions import latest
 from graphloom.plans.catalog import query
-from graphloom.plans.joins import _ANN, annotations
+from graphloom.operators.coverage import TEST_FILES
+from graphloom.plans.joins import _ANN, _TESTS, annotations, references
 
 NL = "chr(10)"
 
@@ -109,10 +110,10 @@ def shotgun(g: Graph) -> DataFrame:
 @query(
     "agg12_feature_envy",
     sql("""c AS (SELECT f.id, f.file_path AS own, t.file_path AS file, t.kind FROM edg e JOIN sym f ON f.id = e.src JOIN sym t ON t.id = e.dst WHERE e.kind = 'calls' AND f.kind IN ('function', 'method')),
-t AS (SELECT id, count(*) AS total FROM c GROUP BY 1), m AS (SELECT id, file, count(*) AS n FROM c WHERE kind = 'method' AND file <> own GROUP BY 1, 2 HAVING count(*) >= 2)
+t AS (SELECT id, count(*) AS total FROM c GROUP BY 1), m AS (SELECT id, file, count(*) AS n FROM c WHERE kind = 'method' AND file <> own GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT m.id, arg_min(m.file, (-m.n, m.file)) AS file, max(m.n) AS external_calls, t.total FROM m JOIN t ON t.id = m.id WHERE t.total >= 3 GROUP BY m.id, t.total"""),
 )
-def feature_envy(g: Graph, least: int = 2) -> DataFrame:
+def feature_envy(g: Graph, least: int = 3) -> DataFrame:
     """Functions with ``least`` or more calls to methods of one other file and three callees in all; the most called file counts."""
     s = g.symbols("id", "file_path", "kind")
     c = R.with_ends(g.edges("calls"), s, "file_path", "kind").where(F.col("src_kind").isin("function", "method"))
@@ -126,10 +127,10 @@ def feature_envy(g: Graph, least: int = 2) -> DataFrame:
     "agg13_god_class",
     sql("""m AS (SELECT c.id, count(*) AS methods FROM sym c JOIN sym m ON m.file_path = c.file_path AND m.kind = 'method' AND m.start_line >= c.start_line AND m.end_line <= c.end_line WHERE c.kind = 'class' GROUP BY 1),
 k AS (SELECT e.dst AS id, count(*) AS callers FROM edg e JOIN sym s ON s.id = e.src WHERE e.kind = 'calls' GROUP BY 1)
-SELECT m.id, m.methods, coalesce(k.callers, 0) AS callers, CASE WHEN m.methods > 4 THEN 'error' ELSE 'warning' END AS severity FROM m LEFT JOIN k ON k.id = m.id WHERE m.methods > 3 OR (m.methods > 2 AND coalesce(k.callers, 0) > 1)"""),
+SELECT m.id, m.methods, coalesce(k.callers, 0) AS callers, CASE WHEN m.methods > 20 THEN 'error' ELSE 'warning' END AS severity FROM m LEFT JOIN k ON k.id = m.id WHERE m.methods > 15 OR (m.methods > 10 AND coalesce(k.callers, 0) > 8)"""),
 )
-def god_class(g: Graph, many: int = 3, some: int = 2, popular: int = 1, error: int = 4) -> DataFrame:
-    """Classes with too many methods; thresholds are parameters (15, 10, 8 and 20 for a real code base)."""
+def god_class(g: Graph, many: int = 15, some: int = 10, popular: int = 8, error: int = 20) -> DataFrame:
+    """Classes with too many methods, or with many and many callers."""
     s = g.symbols("id", "file_path", "start_line", "end_line", "kind")
     m = R.contained(s.where("kind = 'method'"), s.where("kind = 'class'"), "file_path", "start_line", "end_line").groupBy(F.col("outer_id").alias("id")).agg(F.count("*").alias("methods"))
     k = R.known_counts(g.edges("calls"), s, "dst", "src", "callers")
@@ -137,26 +138,42 @@ def god_class(g: Graph, many: int = 3, some: int = 2, popular: int = 1, error: i
     return r.where((F.col("methods") > many) | ((F.col("methods") > some) & (F.col("callers") > popular))).select("id", "methods", "callers", F.when(F.col("methods") > error, "error").otherwise("warning").alias("severity"))
 
 
-@query("agg14_high_coupling", sql("SELECT e.src AS id, count(*) AS callees FROM edg e JOIN sym t ON t.id = e.dst WHERE e.kind = 'calls' GROUP BY 1 HAVING count(*) > 4"))
-def high_coupling(g: Graph, most: int = 4) -> DataFrame:
+@query(
+    "agg13_god_class_low",
+    sql("""m AS (SELECT c.id, count(*) AS methods FROM sym c JOIN sym m ON m.file_path = c.file_path AND m.kind = 'method' AND m.start_line >= c.start_line AND m.end_line <= c.end_line WHERE c.kind = 'class' GROUP BY 1),
+k AS (SELECT e.dst AS id, count(*) AS callers FROM edg e JOIN sym s ON s.id = e.src WHERE e.kind = 'calls' GROUP BY 1)
+SELECT m.id, m.methods, coalesce(k.callers, 0) AS callers, CASE WHEN m.methods > 4 THEN 'error' ELSE 'warning' END AS severity FROM m LEFT JOIN k ON k.id = m.id WHERE m.methods > 3 OR (m.methods > 2 AND coalesce(k.callers, 0) > 1)"""),
+)
+def god_class_low(g: Graph) -> DataFrame:
+    """The same with limits that small code bases reach."""
+    return god_class(g, 3, 2, 1, 4)
+
+
+@query("agg14_high_coupling", sql("SELECT e.src AS id, count(*) AS callees FROM edg e JOIN sym t ON t.id = e.dst WHERE e.kind = 'calls' GROUP BY 1 HAVING count(*) > 10"))
+def high_coupling(g: Graph, most: int = 10) -> DataFrame:
     return R.known_counts(g.edges("calls"), g.symbols("id"), "src", "dst", "callees").where(F.col("callees") > most)
 
 
 @query(
     "agg15_guard_limits",
     sql("""k AS (SELECT e.dst AS id, count(*) AS n FROM edg e JOIN sym s ON s.id = e.src WHERE e.kind = 'calls' GROUP BY 1)
-SELECT s.id, 'max-coupling' AS rule, k.n AS value FROM k JOIN sym s ON s.id = k.id WHERE k.n > 20 UNION ALL SELECT id, 'max-complexity', complexity::BIGINT FROM sym WHERE complexity > 10"""),
+SELECT s.id, 'max-coupling' AS rule, k.n AS value FROM k JOIN sym s ON s.id = k.id WHERE k.n > 20 UNION ALL SELECT id, 'max-complexity', complexity::BIGINT FROM sym WHERE complexity > 50"""),
 )
-def guard_limits(g: Graph, callers: int = 20, complexity: int = 10) -> DataFrame:
+def guard_limits(g: Graph, callers: int = 20, complexity: int = 50) -> DataFrame:
     s = g.symbols("id", "complexity")
     many = R.known_counts(g.edges("calls"), s, "dst", "src", "n").where(F.col("n") > callers).join(s.select("id"), "id", "left_semi")
     return many.select("id", F.lit("max-coupling").alias("rule"), F.col("n").alias("value")).unionByName(s.where(F.col("complexity") > complexity).select("id", F.lit("max-complexity").alias("rule"), F.col("complexity").cast("long").alias("value")))
 
 
-@query("agg17_coverage", sql("t AS (SELECT layer, kind, (ai_summary IS NOT NULL OR doc_comment IS NOT NULL) AS has FROM sym) SELECT layer, kind, count(*) AS n, count(*) FILTER (WHERE has) AS covered, round(100.0 * count(*) FILTER (WHERE has) / count(*), 4) AS percent FROM t GROUP BY 1, 2"))
+@query("agg17_coverage", sql(_TESTS + ", c AS (SELECT s.layer, s.kind, (s.id IN (SELECT id FROM r)) AS has FROM sym s JOIN x ON x.id = s.id) SELECT layer, kind, count(*) AS n, count(*) FILTER (WHERE has) AS covered, round(100.0 * count(*) FILTER (WHERE has) / count(*), 4) AS percent FROM c GROUP BY GROUPING SETS ((layer, kind), (layer), (kind), ())"))
 def coverage(g: Graph) -> DataFrame:
-    c = latest(g.table("symbols"), "id", "updated_at", "layer", "kind", (F.col("ai_summary").isNotNull() | F.col("doc_comment").isNotNull()).alias("has"))
-    return c.groupBy("layer", "kind").agg(F.count("*").alias("n"), F.count_if("has").alias("covered"), F.round(F.lit(100.0) * F.count_if("has") / F.count("*"), 4).alias("percent"))
+    """Share of the exported symbols that tests refer to, by layer and kind, by each alone and in all."""
+    hit = references(g).select("id").distinct().withColumn("has", F.lit(True))
+    s = g.symbols("name", "file_path", "exported", "layer", "kind")
+    x = s.where(F.coalesce("exported", F.lit(False)) & ~F.coalesce(F.col("file_path").rlike(TEST_FILES), F.lit(False)) & F.col("file_path").isNotNull() & (F.length("name") > 0))
+    c = x.join(hit, "id", "left").withColumn("has", F.coalesce("has", F.lit(False)))
+    l, k = F.col("layer"), F.col("kind")
+    return c.groupingSets([[l, k], [l], [k], []], l, k).agg(F.count("*").alias("n"), F.count_if("has").alias("covered"), F.round(F.lit(100.0) * F.count_if("has") / F.count("*"), 4).alias("percent"))
 
 
 @query(
@@ -177,23 +194,11 @@ def fan_in(g: Graph) -> DataFrame:
     return g.edges("extends", "implements").groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("dependents")).where("dependents >= 2").orderBy(F.desc("dependents"), "id").limit(5)
 
 
-@query("agg22_health_score", sql("u AS (SELECT count(*) AS n FROM edg WHERE dst NOT IN (SELECT id FROM sym)) SELECT greatest(0, least(100, 100 - 3 * (n % 40))) AS score FROM u"))
-def health(g: Graph) -> DataFrame:
-    u = g.edges().select("dst").join(g.symbols("id").select(F.col("id").alias("dst")), "dst", "left_anti").agg(F.count("*").alias("n"))
-    return u.select(F.greatest(F.lit(0), F.least(F.lit(100), 100 - 3 * (F.col("n") % 40))).cast("long").alias("score"))
-
-
 @query("agg24_team_summary", f"WITH {_ANN} SELECT user_id, type, count(*) AS n, count(*) FILTER (WHERE NOT coalesce(resolved, false)) AS unresolved FROM ann GROUP BY ROLLUP (user_id, type)")
 def team_summary(g: Graph) -> DataFrame:
     return annotations(g, "user_id", "type", "resolved").rollup("user_id", "type").agg(F.count("*").alias("n"), F.count_if(~F.coalesce("resolved", F.lit(False))).alias("unresolved"))
 
 
-@query("agg25_normalised_terms", sql("x(a, b) AS (VALUES ('function', 'callable'), ('method', 'callable'), ('constant', 'value'), ('variable', 'value'), ('property', 'value')) SELECT language, string_agg(DISTINCT coalesce(x.b, kind), ',' ORDER BY coalesce(x.b, kind)) AS terms FROM sym LEFT JOIN x ON x.a = kind GROUP BY 1"))
-def normalised_terms(g: Graph) -> DataFrame:
-    m = F.create_map(*[F.lit(x) for x in ("function", "callable", "method", "callable", "constant", "value", "variable", "value", "property", "value")])
-    return g.symbols("language", "kind").groupBy("language").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce(m[F.col("kind")], "kind"))), ",").alias("terms"))
-
-
 @query("agg26_cube", sql("SELECT kind, layer, count(*) AS n, round(avg(complexity), 6) AS avg_complexity FROM sym GROUP BY CUBE (kind, layer)"))
 def cube(g: Graph) -> DataFrame:
     return g.symbols("kind", "layer", "complexity").cube("kind", "layer").agg(F.count("*").alias("n"), F.round(F.avg("complexity"), 6).alias("avg_complexity"))

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def load() -> None:
-    from graphloom.plans import aggregates, composites, eventplans, graphplans, joins, rules, search, sinks, sourceplans, texts  # noqa: F401
+    from graphloom.plans import aggregates, composites, eventplans, graphplans, joins, projectplans, rules, search, sinks, sourceplans, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

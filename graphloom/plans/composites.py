@@ -107,17 +107,6 @@ def diff_summary(g: Graph) -> DataFrame:
     return d.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.coalesce("new_value", F.lit(0)) - F.coalesce("old_value", F.lit(0))).cast("long").alias("complexity_delta"))
 
 
-@query("cmp23_dependency_health")
-def dependency_health(g: Graph) -> DataFrame:
-    """Import cycles of two and three files, dangling targets and the health score they give."""
-    s = g.symbols("id", "file_path")
-    ends = R.with_ends(g.edges("imports"), s, "file_path").where("src_file_path <> dst_file_path")
-    cycles = O.cycles(ends.select(F.col("src_file_path").alias("a"), F.col("dst_file_path").alias("b")), 3).agg(F.count("*").alias("cycles"))
-    dangling = g.edges("imports").join(s.select(F.col("id").alias("dst")), "dst", "left_anti").agg(F.countDistinct("dst").alias("unlisted"))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), 100 - 15 * F.col("cycles") - 5 * F.col("unlisted")))
-    return cycles.join(F.broadcast(dangling), how="inner", on=F.lit(True)).select("cycles", "unlisted", score.alias("score"))
-
-
 @query("cmp26_annotation_views", f"WITH {_ANN} SELECT type, resolved, count(*) AS n, count(DISTINCT symbol_id) AS symbols, count(DISTINCT user_id) AS users FROM ann GROUP BY 1, 2")
 def annotation_views(g: Graph) -> DataFrame:
     a = annotations(g, "type", "resolved", "symbol_id", "user_id")

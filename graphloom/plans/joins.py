@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from graphloom.model import Graph, sql
 from graphloom.operators import relations as R
+from graphloom.operators.coverage import TEST_FILES, TEST_PATH, WORD, test_references
+from graphloom.operators.versions import latest
 from graphloom.plans.catalog import query
+from graphloom.sources.files import PROBES, resolve_imports
 
 
 @query("join01_callers", sql("SELECT e.dst AS id, s.id AS caller_id, s.name AS caller_name, s.kind AS caller_kind FROM edg e JOIN sym s ON s.id = e.src WHERE e.kind = 'calls'"))
@@ -60,45 +63,36 @@ def resolve_names(g: Graph) -> DataFrame:
     return hit.select("id", "name", target.alias("target_id"), F.when(target.isNotNull(), F.col("local_id").isNotNull()).alias("is_local"))
 
 
-_EXT = [".ts", ".tsx", ".js", ".jsx", ".py", ".c", ".cpp", ".h", ".hpp", ".go", ".rs"]
-_PROBES = ["", *_EXT, *[f"/index{x}" for x in _EXT]]
-_VALUES = ", ".join(f"({i}, '{x}')" for i, x in enumerate(_PROBES))
+_RAW = r"""w AS (SELECT DISTINCT path, imp AS spec FROM (SELECT path, unnest(imports) AS imp FROM fil) WHERE imp IS NOT NULL)"""
+_VALUES = ", ".join(f"({i}, '{x}')" for i, x in enumerate(PROBES))
 
 
-_WANTED = """w AS (SELECT DISTINCT a.file_path AS path, regexp_replace(b.file_path, '\\.[^./]*$', '') AS base FROM edg e JOIN sym a ON a.id = e.src JOIN sym b ON b.id = e.dst WHERE e.kind = 'imports')"""
-
-
-def _wanted(g: Graph) -> DataFrame:
-    """(path, base): what each file imports, as a path without its extension."""
-    ends = R.with_ends(g.edges("imports"), g.symbols("id", "file_path"), "file_path")
-    return ends.select(F.col("src_file_path").alias("path"), F.regexp_replace("dst_file_path", r"\.[^./]*$", "").alias("base")).distinct()
+def _specs(g: Graph) -> DataFrame:
+    """(path, spec): what each file imports, as it says so."""
+    return g.files("imports").select("path", F.explode("imports").alias("spec")).where("spec IS NOT NULL").distinct()
 
 
 @query(
     "join07_import_paths",
-    sql(f"""{_WANTED}, x(rank, ext) AS (VALUES {_VALUES}),
-h AS (SELECT w.path, w.base, f.path AS target, row_number() OVER (PARTITION BY w.path, w.base ORDER BY x.rank) AS rn FROM w CROSS JOIN x JOIN fil f ON f.path = w.base || x.ext)
-SELECT path, base, target FROM h WHERE rn = 1"""),
+    sql(_RAW + rf""", b AS (SELECT path, spec, regexp_replace(regexp_replace(regexp_replace(path, '[^/]*$', ''), '/$', '') || '/' || regexp_replace(spec, '^\./', ''), '\.(?:js|jsx|mjs)$', '') AS base FROM w WHERE starts_with(spec, './')), x(rank, ext) AS (VALUES {_VALUES}),
+h AS (SELECT b.path, b.spec, f.path AS target, row_number() OVER (PARTITION BY b.path, b.spec ORDER BY x.rank) AS rn FROM b CROSS JOIN x JOIN fil f ON f.path = b.base || x.ext)
+SELECT path, spec, target FROM h WHERE rn = 1 AND target <> path"""),
 )
 def import_paths(g: Graph) -> DataFrame:
-    """Every import probed with each extension, alone and as an index file; the first probe that is a file counts."""
-    probes = F.array(*[F.struct(F.lit(r).alias("rank"), F.concat("base", F.lit(x)).alias("target")) for r, x in enumerate(_PROBES)])
-    p = _wanted(g).select("path", "base", F.inline(probes))
-    known = g.files("language").select(F.col("path").alias("target"))
-    return p.join(known, "target").groupBy("path", "base").agg(F.min_by("target", "rank").alias("target"))
+    """Every relative import probed with each ending, alone and as an index file; the first probe that is a file counts."""
+    return resolve_imports(_specs(g).where(F.col("spec").startswith(".")), g.files("language"))
 
 
 @query(
     "join08_basename_imports",
-    sql(_WANTED + """, n AS (SELECT regexp_extract(path, '([^/]*)$', 1) AS name, min(path) AS target FROM fil GROUP BY 1)
-SELECT w.path, w.base, min(n.target) AS target FROM w JOIN n ON n.name IN (regexp_extract(w.base, '([^/]*)$', 1) || '.h', regexp_extract(w.base, '([^/]*)$', 1) || '.hpp', regexp_extract(w.base, '([^/]*)$', 1) || '.c', regexp_extract(w.base, '([^/]*)$', 1) || '.py') GROUP BY 1, 2"""),
+    sql(_RAW + r""", i AS (SELECT path, spec, regexp_extract(spec, '([^/]+)$', 1) AS stem, split_part(path, '/', 1) AS repo, regexp_replace(path, '/?[^/]*$', '') AS dir FROM w WHERE NOT starts_with(spec, '.')),
+n AS (SELECT regexp_extract(regexp_replace(path, '/(?:index|__init__|mod)\.[^./]*$', ''), '([^/]+?)(?:\.[^./]*)?$', 1) AS stem, split_part(path, '/', 1) AS repo, regexp_replace(path, '/?[^/]*$', '') AS dir, path AS target FROM fil),
+a AS (SELECT stem, dir, min(target) AS near FROM n GROUP BY 1, 2), c AS (SELECT stem, repo, min(target) AS far FROM n GROUP BY 1, 2)
+SELECT i.path, i.spec, coalesce(a.near, c.far) AS target FROM i LEFT JOIN a ON a.stem = i.stem AND a.dir = i.dir LEFT JOIN c ON c.stem = i.stem AND c.repo = i.repo WHERE coalesce(a.near, c.far) <> i.path"""),
 )
 def basenames(g: Graph) -> DataFrame:
-    """Imports matched on the last part of the path alone, with any of some extensions."""
-    last = F.element_at(F.split("base", "/"), -1)
-    i = _wanted(g).select("path", "base", F.explode(F.array(*[F.concat(last, F.lit(x)) for x in (".h", ".hpp", ".c", ".py")])).alias("name"))
-    n = g.files("language").groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.min("path").alias("target"))
-    return i.join(n, "name").groupBy("path", "base").agg(F.min("target").alias("target"))
+    """Other imports matched on their last part alone, in the same directory or else the same repository."""
+    return resolve_imports(_specs(g).where(~F.col("spec").startswith(".")), g.files("language"))
 
 
 @query(
@@ -179,80 +173,70 @@ def _packages(g: Graph) -> DataFrame:
     return i.select("path", F.when(F.col("imp").startswith("@"), scoped).otherwise(parts[0]).alias("pkg"))
 
 
-_DECLARED = f"i AS (SELECT path, {_PKG} AS pkg FROM (SELECT path, unnest(imports) AS imp FROM fil) WHERE imp NOT LIKE '.%'), d AS (SELECT pkg, count(*) AS n FROM i GROUP BY 1 HAVING count(*) >= 2)"
-
-
-@query("join15_unused_declared", sql(_DECLARED + ", declared AS (SELECT DISTINCT name AS dep FROM sym WHERE kind = 'module') SELECT dep FROM declared WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.pkg = dep OR contains(d.pkg, dep))"))
-def unused_declared(g: Graph) -> DataFrame:
-    """Declared names that no imported package equals or contains: an anti join on a containment, by n-grams."""
-    used = _packages(g).groupBy("pkg").agg(F.count("*").alias("n")).where("n >= 2").select("pkg")
-    declared = g.symbols("name", "kind").where("kind = 'module'").select(F.col("name").alias("dep")).distinct()
-    hit = R.substring_links(used, declared, "pkg", "dep").select("dep").distinct()
-    return declared.join(hit, "dep", "left_anti")
+_TESTS = r"""x AS (SELECT id, name, file_path FROM sym WHERE coalesce(exported, false) AND NOT regexp_matches(file_path, '{p}') AND length(name) > 0), t AS (SELECT id, name, file_path, source_code FROM sym WHERE regexp_matches(file_path, '{p}')),
+r AS (SELECT x.id, t.file_path, NULL AS test_id FROM x JOIN (SELECT DISTINCT file_path FROM t) t ON contains(t.file_path, x.name || '.test.') OR contains(t.file_path, x.name || '.spec.') OR contains(t.file_path, 'test_' || x.name || '.') OR contains(t.file_path, x.name || '_test.')
+UNION SELECT x.id, t.file_path, t.id FROM x JOIN t ON contains(lower(t.name), lower(x.name)) OR contains(t.source_code, x.name))""".replace("{p}", TEST_FILES)
 
 
-@query("join16_unlisted_imports", sql(_DECLARED + " SELECT i.pkg, count(DISTINCT i.path) AS files FROM i WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.pkg = i.pkg) GROUP BY 1"))
-def unlisted(g: Graph) -> DataFrame:
-    p = _packages(g)
-    listed = p.groupBy("pkg").agg(F.count("*").alias("n")).where("n >= 2").select("pkg")
-    return p.join(listed, "pkg", "left_anti").groupBy("pkg").agg(F.countDistinct("path").alias("files"))
+def references(g: Graph) -> DataFrame:
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce("source_code", F.lit("")), F.lit(WORD), F.lit(0)))
+    test = F.coalesce(F.col("file_path").rlike(TEST_FILES), F.lit(False))
+    s = latest(g.table("symbols"), "id", "updated_at", "name", "file_path", "exported", F.when(test, words).alias("words"), F.when(test, F.col("source_code")).alias("source_code"))
+    return test_references(s)
 
 
-#: What makes a path a test's.
-TEST_PATH = r"(?i:test[_-])|(?i:[_-]test)|\.test\.|\.spec\.|__tests__/|test__"
-_TEST_SQL = r"(?i:test[_-])|(?i:[_-]test)|\.test\.|\.spec\.|__tests__/|test__"
+@query("join17_test_references", sql(_TESTS + " SELECT id, count(DISTINCT test_id) AS tests, count(DISTINCT file_path) AS files FROM r GROUP BY 1"))
+def tested(g: Graph) -> DataFrame:
+    """Exported symbols that tests refer to, by file name, test name or code, with the numbers of tests and files."""
+    return references(g).groupBy("id").agg(F.countDistinct("test_id").alias("tests"), F.countDistinct("file_path").alias("files"))
 
 
-@query(
-    "join17_test_references",
-    sql("""t AS (SELECT DISTINCT id AS test_id, unnest(regexp_extract_all(source_code, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM sym WHERE file_path LIKE '%/tests/%' AND source_code IS NOT NULL)
-SELECT s.id, count(DISTINCT t.test_id) AS tests FROM sym s JOIN t ON t.name = s.name WHERE s.file_path NOT LIKE '%/tests/%' AND s.kind IN ('function', 'method', 'class') GROUP BY 1"""),
-)
-def test_references(g: Graph) -> DataFrame:
-    """Symbols whose name stands as a word in the code of tests: the identifiers of each test meet names by equality."""
-    s = g.symbols("id", "name", "file_path", "kind", "source_code")
-    tests = s.where(F.col("file_path").contains("/tests/") & F.col("source_code").isNotNull())
-    words = tests.select(F.col("id").alias("test_id"), F.explode(F.array_distinct(F.regexp_extract_all("source_code", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
-    per_name = words.groupBy("name").agg(F.countDistinct("test_id").alias("tests"))
-    code = s.where(~F.col("file_path").contains("/tests/") & F.col("kind").isin("function", "method", "class")).select("id", "name")
-    return code.join(per_name, "name").select("id", "tests")
+#: The graph as it is and as it was: of each symbol the current row and the row before it, if there is one.
+VERSIONS_SQL = """v AS (SELECT *, dense_rank() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rk FROM symbols WHERE id IS NOT NULL),
+n AS (SELECT name, file_path, max(complexity) AS v FROM (SELECT DISTINCT id, name, file_path, complexity FROM v WHERE rk = 1) GROUP BY 1, 2),
+o AS (SELECT name, file_path, max(complexity) AS v FROM (SELECT DISTINCT id, name, file_path, complexity FROM v WHERE rk = 2) GROUP BY 1, 2)"""
 
 
+def snapshots(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """(old, new) of (name, file_path, v): the complexity in the version before the current one, and in that. A symbol
+    that was never scanned again is only in the new graph."""
+    v = g.table("symbols").where("id IS NOT NULL").select("id", "name", "file_path", "complexity", F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at")).distinct()
+    now = v.groupBy("id").agg(F.max("at").alias("now"))
+    past = v.join(now, "id").where("at < now")
+    was = past.groupBy("id").agg(F.max("at").alias("was"))
+    by = lambda df: df.groupBy("name", "file_path").agg(F.max("complexity").alias("v"))
+    return by(past.join(was, "id").where("at = was")), by(v.join(now, "id").where("at = now"))
 
 
 @query(
     "join18_graph_diff",
-    sql("""o AS (SELECT name, file_path, max(complexity) AS v FROM sym WHERE start_line % 7 <> 0 GROUP BY 1, 2), n AS (SELECT name, file_path, max(complexity) + (max(start_line) % 2) AS v FROM sym WHERE start_line % 5 <> 0 GROUP BY 1, 2)
-SELECT coalesce(o.name, n.name) AS name, coalesce(o.file_path, n.file_path) AS file_path, o.v AS old_value, n.v AS new_value,
-CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' WHEN o.v IS NOT DISTINCT FROM n.v THEN 'same' ELSE 'changed' END AS status
-FROM o FULL OUTER JOIN n ON o.name = n.name AND o.file_path = n.file_path"""),
+    "WITH " + VERSIONS_SQL + """ SELECT coalesce(o.name, n.name) AS name, coalesce(o.file_path, n.file_path) AS file_path, o.v AS old_value, n.v AS new_value,
+CASE WHEN o.file_path IS NULL AND o.name IS NULL THEN 'added' WHEN n.file_path IS NULL AND n.name IS NULL THEN 'removed' WHEN o.v IS NOT DISTINCT FROM n.v THEN 'same' ELSE 'changed' END AS status
+FROM o FULL OUTER JOIN n ON o.name IS NOT DISTINCT FROM n.name AND o.file_path IS NOT DISTINCT FROM n.file_path""",
 )
 def graph_diff(g: Graph) -> DataFrame:
-    """Two snapshots of the graph (here two selections of one) compared on name and file."""
-    s = g.symbols("name", "file_path", "complexity", "start_line")
-    old = s.where("start_line % 7 <> 0").groupBy("name", "file_path").agg(F.max("complexity").alias("v"))
-    new = s.where("start_line % 5 <> 0").groupBy("name", "file_path").agg((F.max("complexity") + F.max("start_line") % 2).alias("v"))
-    return R.diff(old, new, ["name", "file_path"], "v")
+    """The graph before the last scan of each symbol against the one after it, on name and file."""
+    return R.diff(*snapshots(g), ["name", "file_path"], "v")
 
 
-@query(
-    "join19_moved_symbols",
-    sql("""o AS (SELECT DISTINCT name, file_path FROM sym WHERE start_line % 7 <> 0), n AS (SELECT DISTINCT name, file_path FROM sym WHERE start_line % 5 <> 0),
-a AS (SELECT * FROM n EXCEPT SELECT * FROM o) SELECT a.name, a.file_path, min(o.file_path) AS old_path FROM a JOIN o ON o.name = a.name GROUP BY 1, 2"""),
-)
+@query("join19_moved_symbols", sql("""f AS (SELECT max(parsed_at) - INTERVAL 60 DAY AS at FROM fil), n AS (SELECT DISTINCT s.name, s.file_path FROM sym s JOIN fil ON fil.path = s.file_path, f WHERE fil.parsed_at >= f.at), o AS (SELECT DISTINCT s.name, s.file_path FROM sym s JOIN fil ON fil.path = s.file_path, f WHERE fil.parsed_at < f.at)
+SELECT n.name, n.file_path, min(o.file_path) AS old_path FROM n JOIN o ON o.name = n.name WHERE n.file_path <> o.file_path GROUP BY 1, 2"""))
 def moved(g: Graph) -> DataFrame:
-    s = g.symbols("name", "file_path", "start_line")
-    old, new = (s.where(f"start_line % {m} <> 0").select("name", "file_path").distinct() for m in (7, 5))
-    first = old.groupBy("name").agg(F.min("file_path").alias("old_path"))
-    return new.join(old, ["name", "file_path"], "left_anti").join(first, "name").select("name", "file_path", "old_path")
+    """Symbols of files parsed in the last sixty days that bear the name of one in files parsed before."""
+    f = g.files("parsed_at")
+    last = f.agg((F.max("parsed_at") - F.expr("INTERVAL 60 DAYS")).alias("at"))
+    f = f.join(F.broadcast(last), how="inner", on=F.lit(True)).select(F.col("path").alias("file_path"), (F.col("parsed_at") >= F.col("at")).alias("recent"))
+    s = g.symbols("name", "file_path").join(f, "file_path").select("name", "file_path", "recent").distinct()
+    old = s.where("NOT recent").groupBy("name").agg(F.min("file_path").alias("old_path"))
+    return s.where("recent").join(old, "name").where("file_path <> old_path").select("name", "file_path", "old_path")
 
 
-@query("join20_names_in_paths", sql("a AS (SELECT DISTINCT file_path AS path FROM sym), b AS (SELECT DISTINCT name AS part FROM sym WHERE kind = 'module' AND length(name) >= 3) SELECT path, part FROM a JOIN b ON contains(a.path, b.part)"))
+@query("join20_names_in_paths", sql("a AS (SELECT DISTINCT file_path AS path FROM sym), b AS (SELECT DISTINCT name AS part FROM sym WHERE kind = 'module' AND length(name) >= 1) SELECT path, part FROM a JOIN b ON contains(a.path, b.part)"))
 def names_in_paths(g: Graph) -> DataFrame:
     """A substring join of all paths with all module names, by the rarest n-gram of each name."""
     s = g.symbols("name", "kind", "file_path")
     paths = s.select(F.col("file_path").alias("path")).distinct()
-    parts = s.where("kind = 'module' AND length(name) >= 3").select(F.col("name").alias("part")).distinct()
+    parts = s.where("kind = 'module'").select(F.col("name").alias("part")).distinct()
     return R.substring_links(paths, parts, "path", "part").select("path", "part").distinct()
 
 
@@ -262,16 +246,15 @@ def reverse_dag(g: Graph) -> DataFrame:
 
 
 @query(
-    "join22_array_overlap",
-    sql("""i AS (SELECT DISTINCT path, unnest(imports) AS imp FROM fil), c AS (SELECT imp, count(*) AS n FROM i GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20)
-SELECT a.path AS path_a, b.path AS path_b, count(*) AS shared FROM i a JOIN c USING (imp) JOIN i b ON b.imp = a.imp AND a.path < b.path GROUP BY 1, 2"""),
+    "join22_shared_imports",
+    sql("i AS (SELECT DISTINCT path, unnest(imports) AS imp FROM fil), c AS (SELECT imp, count(*) AS n, min(path) AS first_path FROM i GROUP BY 1 HAVING count(*) >= 2) SELECT i.path, count(*) AS shared, sum(c.n - 1)::BIGINT AS links FROM i JOIN c USING (imp) GROUP BY 1"),
 )
-def array_overlap(g: Graph) -> DataFrame:
-    """Files that share imports which 2 to 20 files have: both arrays exploded and joined on their elements."""
+def shared_imports(g: Graph) -> DataFrame:
+    """For each file how many of its imports others have too, and to how many other files these link it. The files of an
+    import are a class with a count, so one that everybody uses makes no pairs."""
     i = g.files("imports").select("path", F.explode(F.array_distinct("imports")).alias("imp"))
-    some = i.groupBy("imp").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 20").select("imp")
-    i = i.join(some, "imp")
-    return i.withColumnRenamed("path", "path_a").join(i.withColumnRenamed("path", "path_b"), "imp").where("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("shared"))
+    n = i.groupBy("imp").agg(F.count("*").alias("n")).where("n >= 2")
+    return i.join(n, "imp").groupBy("path").agg(F.count("*").alias("shared"), F.sum(F.col("n") - 1).alias("links"))
 
 
 @query("join23_dangling_targets", sql("SELECT dst, count(*) AS n FROM edg WHERE dst NOT IN (SELECT id FROM sym) GROUP BY 1"))
@@ -400,9 +383,9 @@ def fuzzy_fallback(g: Graph) -> DataFrame:
     return exact.unionAll(loose.join(F.broadcast(any_exact.limit(1)), how="left_anti", on=F.lit(True)))
 
 
-@query("flt08_test_paths", sql(f"SELECT path FROM fil WHERE regexp_matches(path, '{_TEST_SQL}')"))
+@query("flt08_test_paths", sql(f"SELECT path FROM fil WHERE regexp_matches(path, '{TEST_FILES}')"))
 def test_paths(g: Graph) -> DataFrame:
-    return g.files("language").where(F.col("path").rlike(TEST_PATH)).select("path")
+    return g.files("language").where(F.col("path").rlike(TEST_FILES)).select("path")
 
 
 #: Names and paths that are meant for use from outside.

@@ -41,12 +41,6 @@ def parsed(g: Graph) -> DataFrame:
     return S.parse(s, "id")
 
 
-@query("src08_macros")
-def macros(g: Graph) -> DataFrame:
-    d = g.table("documents").where("file_path IS NOT NULL").select(F.col("file_path").alias("path"), "text")
-    return S.macro_declarations(d)
-
-
 @query("src11_symbols_by_file", sql("SELECT id, file_path, row_number() OVER (PARTITION BY file_path ORDER BY start_line, id) AS place FROM sym"))
 def by_file(g: Graph) -> DataFrame:
     from pyspark.sql import Window as W

@@ -32,7 +32,7 @@ def manifests(files: DataFrame, path: str = "path", text: str = "text") -> DataF
 
     toml = r"(?m)^([\w-]+)[ \t]*=[ \t]*(?:\"([^\"]*)\"|\{[^\n}]*\})"
     return (
-        out.unionByName(lines("requirements.txt", None, r"(?m)^[ \t]*([A-Za-z][\w.-]*)(?:\[[^\]\n]*\])?[ \t]*(?:[=<>~!]=?[ \t]*([\w.*]+))?"))
+        out.unionByName(lines("requirements.txt", None, r"(?m)^[ \t]*([A-Za-z_][\w.-]*)(?:\[[^\]\n]*\])?[ \t]*(?:[=<>~!]=?[ \t]*([\w.*]+))?"))
         .unionByName(lines("go.mod", None, r"(?m)^[ \t]*(?:require[ \t]+)?([\w-]+\.[\w./-]+)[ \t]+(v[\w.+-]+)"))
         .unionByName(lines("Cargo.toml", r"(?s)(?:^|\n)\[dependencies\]\n(.*?)(?:\n\[|$)", toml))
         .unionByName(lines("Cargo.toml", r"(?s)(?:^|\n)\[dev-dependencies\]\n(.*?)(?:\n\[|$)", toml, True))
@@ -94,6 +94,57 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc_nulls_last("name")).limit(1)
 
 
+def failure_advice(runs: DataFrame, traces: DataFrame) -> DataFrame:
+    """(run, step, message, upstream, advice): failed steps with what they follow and what to look at first: failures
+    above them, else the step itself, else its input."""
+    failed = failures(runs)
+    up = trace_steps(traces).select("step", "upstream")
+    bad = failed.select("run", F.col("step").alias("u"))
+    above = failed.join(up, "step", "left").select("run", "step", F.explode("upstream").alias("u")).join(bad, ["run", "u"]).groupBy("run", "step").agg(F.array_join(F.array_sort(F.collect_set("u")), ", ").alias("first"))
+    rows = failed.join(up, "step", "left").join(above, ["run", "step"], "left")
+    advice = F.when(F.size(F.coalesce("upstream", F.array().cast("array<string>"))) == 0, "Check input data and step configuration").when(F.col("first").isNotNull(), F.concat(F.lit("Fix upstream failures first: "), F.col("first"))).otherwise("Check step logic and dependencies")
+    return rows.select("run", "step", "message", F.array_join("upstream", ",").alias("upstream"), advice.alias("advice"))
+
+
+def hot_steps(traces: DataFrame, least: int = 2, top: int = 5) -> DataFrame:
+    """(trace, step, dependents, chain): the ``top`` steps that ``least`` or more others follow, and the chain from each
+    that always goes on to the first step downstream not yet in it.
+
+    A trace's own edges are gathered in one map: a trace is a document of one file.
+    """
+    from pyspark.sql import Window as W
+
+    s = trace_steps(traces)
+    n = s.select("trace", F.explode("upstream").alias("step")).groupBy("trace", "step").agg(F.count("*").alias("dependents")).where(F.col("dependents") >= least)
+    n = n.withColumn("r", F.row_number().over(W.partitionBy("trace").orderBy(F.desc("dependents"), "step"))).where(F.col("r") <= top).drop("r")
+    down = s.groupBy("trace").agg(F.map_from_entries(F.collect_list(F.struct("step", "downstream"))).alias("down"), F.count("*").cast("int").alias("size"))
+    rows = n.join(down, "trace")
+    empty = F.array().cast("array<string>")
+    go = lambda chain, _: F.concat(chain, F.slice(F.array_except(F.coalesce(F.try_element_at("down", F.element_at(chain, -1)), empty), chain), 1, 1))
+    return rows.select("trace", "step", "dependents", F.aggregate(F.sequence(F.lit(1), F.col("size")), F.array("step"), go).alias("chain"))
+
+
+REPLY = T.StructType([T.StructField("step", T.StringType()), T.StructField("author", T.StringType()), T.StructField("text", T.StringType())])
+
+
+def json_files(files: DataFrame, schema: T.StructType, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, columns of ``schema``) of the texts that are JSON objects; others are skipped."""
+    p = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    whole = F.try_parse_json(text).isNotNull() & F.trim(text).startswith("{")
+    return files.where(F.col(text).isNotNull() & whole).select(F.col(path).alias("path"), p.alias("j")).select("path", "j.*")
+
+
+TEAM = T.StructType([T.StructField("version", T.StringType()), T.StructField("annotations", T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("id", "symbol_id", "user_id", "content", "type")])))])
+
+
+def team_data(files: DataFrame, versions: tuple[str, ...] = ("1.0",), path: str = "path", text: str = "text") -> DataFrame:
+    """(path, id, symbol_id, user_id, content, type): annotations out of exported team files. A file of another version
+    is an error, as its fields may mean something else."""
+    j = json_files(files, TEAM, path, text)
+    known = F.col("version").isin(*versions)
+    return j.where(F.when(F.coalesce(known, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit("team data of unknown version: "), F.coalesce("version", F.lit("none")))).cast("boolean"))).select("path", F.inline("annotations"))
+
+
 def snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A snapshot written as JSON or parquet lines; a missing one is empty."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
