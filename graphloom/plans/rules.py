@@ -62,15 +62,18 @@ UNION ALL SELECT id, 'max-complexity', 'warning' FROM sym WHERE complexity > 50
 UNION ALL SELECT chain, 'no-circular-deps', 'error' FROM cyc)"""
 
 
-def violations(g: Graph, forbidden: tuple[tuple[str, str], ...] = FORBIDDEN, complexity: int = 50, callers: int = 20) -> DataFrame:
-    """(id, rule, severity): import cycles (their chain as id), edges against the layers, and exceeded limits."""
+def violations(g: Graph, forbidden: tuple[tuple[str, str], ...] = FORBIDDEN, complexity: int = 50, callers: int = 20, cycles: bool = True) -> DataFrame:
+    """(id, rule, severity): import cycles (their chain as id) if asked for, edges against the layers, and exceeded limits."""
     s = g.symbols("id", "layer", "complexity")
     rules = g.spark.createDataFrame(list(forbidden), "src_layer string, dst_layer string")
     wrong = R.with_ends(g.edges(), s.select("id", "layer"), "layer").join(F.broadcast(rules), ["src_layer", "dst_layer"], "left_semi")
     say = lambda df, c, rule, severity: df.select(F.col(c).alias("id"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
     many = R.known_counts(g.edges("calls"), s, "dst", "src", "n").where(F.col("n") > callers).join(s.select("id"), "id", "left_semi")
+    out = say(wrong, "src", "layer-violation", "error").unionByName(say(s.where(F.col("complexity") > complexity), "id", "max-complexity", "warning")).unionByName(say(many, "id", "max-coupling", "warning"))
+    if not cycles:
+        return out
     rings = shortest_cycles(file_imports(g)).select(F.array_join("chain", " > ").alias("chain"))
-    return say(wrong, "src", "layer-violation", "error").unionByName(say(s.where(F.col("complexity") > complexity), "id", "max-complexity", "warning")).unionByName(say(many, "id", "max-coupling", "warning")).unionByName(say(rings, "chain", "no-circular-deps", "error"))
+    return out.unionByName(say(rings, "chain", "no-circular-deps", "error"))
 
 
 @query("rul03_guard", sql(CYCLES_SQL + ", " + _GUARD + " SELECT rule, severity, count(*) AS n, count(DISTINCT id) AS symbols, bool_and(severity <> 'error') AS passed FROM vio GROUP BY GROUPING SETS ((rule, severity), ())", recursive=True))
@@ -248,12 +251,12 @@ def refactor_plan(g: Graph) -> DataFrame:
     return rows.select("id", "smell", F.coalesce(F.try_element_at(steps, F.col("smell")), F.lit(OTHER_STEP)).alias("steps"), F.expr(_RISK).alias("risk"), F.expr(_EFFORT).alias("effort"), F.coalesce("symbols", F.lit(0)).cast("long").alias("symbols_affected"), F.coalesce("files", F.lit(1)).cast("long").alias("files_affected"))
 
 
-def _intent_sql() -> str:
+def _intent_sql(kind: str = "commit_message") -> str:
     cols = ", ".join(f"({' + '.join(f'CASE WHEN regexp_matches(q, {_lit(p)}) THEN {pr} ELSE 0 END' for p in ps)}) AS s_{n}" for n, pr, ps in O.INTENTS)
     names = [n for n, _, _ in O.INTENTS]
     best = "greatest(" + ", ".join(f"s_{n}" for n in names) + ")"
     case = " ".join(f"WHEN s_{n} = {best} THEN '{n}'" for n in names)
-    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS q FROM documents WHERE doc_kind = 'commit_message'), s AS (SELECT doc_id, {cols} FROM d) SELECT doc_id, CASE WHEN {best} = 0 THEN 'free_form' {case} END AS intent, round(CASE WHEN {best} = 0 THEN 0.3 ELSE least({best} / 16.0, 1.0) END, 6) AS confidence FROM s"
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS q FROM documents WHERE doc_kind = '{kind}'), s AS (SELECT doc_id, {cols} FROM d) SELECT doc_id, CASE WHEN {best} = 0 THEN 'free_form' {case} END AS intent, round(CASE WHEN {best} = 0 THEN 0.3 ELSE least({best} / 16.0, 1.0) END, 6) AS confidence FROM s"
 
 
 @query("rul16_intents", _intent_sql())
@@ -287,6 +290,9 @@ def targets(text: Column) -> Column:
 
 
 _CLEAN = r"list_filter(list_transform(list_filter(regexp_split_to_array(text, '[\s,;()\[\]{}''\"]+'), lambda w: w <> ''), lambda w: regexp_replace(regexp_replace(w, '[^a-zA-Z0-9_.-]+$', ''), '^[^a-zA-Z0-9]+', '')), lambda w: w <> '')"
+_IS_NAME = "(regexp_full_match(w, '[A-Z][A-Za-z0-9_]{2,}|[a-z][A-Za-z0-9]+') OR (length(w) >= 5 AND regexp_full_match(w, '[a-z][a-z0-9]*(_[a-z0-9]+)+'))) AND lower(w) NOT IN (" + ", ".join(f"'{x}'" for x in STOP) + ")"
+#: The names of a text in order, then those in backticks.
+SQL_TARGETS = "list_concat(list_filter(" + _CLEAN + ", lambda w: " + _IS_NAME + "), regexp_extract_all(text, '`([^`\\s]+)`', 1))"
 
 
 @query(
