@@ -48,6 +48,16 @@ def files(spark: SparkSession, like: str | None = None) -> DataFrame:
     return df.where(df.path.rlike(like)) if like else df
 
 
+def write(spark: SparkSession, folder: str) -> None:
+    """The files as files under ``folder``, in whatever file system that names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path, text in FILES.items():
+        p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{path}")
+        out = p.getFileSystem(conf).create(p)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
 def sql(body: str) -> str:
     """DuckDB SQL over the same rows, as ``fx(path, text)``."""
     q = lambda x: "'" + x.replace("'", "''") + "'"

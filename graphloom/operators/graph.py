@@ -78,7 +78,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        links = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        links = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", instead_of=links)
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now == before:
             break
@@ -123,12 +123,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
         if e.isEmpty():
             return out
         colour = cut(e.select(F.col("a").alias("id")).union(e.select("b")).distinct().withColumn("c", F.col("id")), "scc-colours")
+        start = colour
         before = None
         while True:
             for _ in range(STEPS):
                 got = e.join(colour, F.col("a") == F.col("id")).groupBy("b").agg(F.max("c").alias("m"))
                 colour = colour.join(got, F.col("id") == F.col("b"), "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"))
-            colour = cut(colour, "scc-colours")
+            colour = start = cut(colour, "scc-colours", instead_of=start)
             now = colour.agg(F.sum(F.xxhash64("id", "c").cast("decimal(20,0)"))).first()[0]
             if now == before:
                 break
@@ -209,8 +210,8 @@ def levels(edges: DataFrame) -> DataFrame:
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
-        left = cut(left.join(free.select("id"), "id", "left_anti"), "level-nodes")
-        rest = cut(rest.join(free.select(F.col("id").alias("a")), "a", "left_anti"), "level-edges")
+        left = cut(left.join(free.select("id"), "id", "left_anti"), "level-nodes", instead_of=left if left is not nodes else None)
+        rest = cut(rest.join(free.select(F.col("id").alias("a")), "a", "left_anti"), "level-edges", instead_of=rest)
     return done if done is not None else nodes.withColumn("level", F.lit(0)).limit(0)
 
 
@@ -224,5 +225,5 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     rank = nodes.withColumn("rank", F.lit(1.0))
     for _ in range(rounds):
         given = e.join(rank, F.col("a") == F.col("id")).groupBy("b").agg(F.sum(F.col("rank") / F.col("n")).alias("got")).withColumnRenamed("b", "id")
-        rank = cut(nodes.join(given, "id", "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "ranks")
+        rank = cut(nodes.join(given, "id", "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "ranks", instead_of=rank)
     return rank

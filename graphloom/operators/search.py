@@ -61,10 +61,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (d == 0), F.lit(0.0)).otherwise(dot(a, b) / d)
 
 
-def top_similar(vectors: DataFrame, query: list[float], key: str, vector: str, k: int, least: float = 0.05) -> DataFrame:
-    """The ``k`` vectors most similar to one query; ties by key."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    s = vectors.select(key, F.round(cosine(F.col(vector), q), 9).alias("score")).where(F.col("score") > least)
+def top_similar(vectors: DataFrame, query: DataFrame, key: str, vector: str, k: int, least: float = 0.05) -> DataFrame:
+    """The ``k`` vectors most similar to the one of ``query``, a table of one row (query); ties by key. No row finds nothing."""
+    both = vectors.join(F.broadcast(query.select(F.col("query").alias("__q"))), how="inner", on=F.lit(True))
+    s = both.select(key, F.round(cosine(F.col(vector), F.col("__q")), 9).alias("score")).where(F.col("score") > least)
     return s.orderBy(F.desc("score"), key).limit(k)
 
 

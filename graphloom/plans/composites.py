@@ -11,7 +11,7 @@ from graphloom.operators import graph as O
 from graphloom.operators import relations as R
 from graphloom.operators.versions import latest
 from graphloom.plans.aggregates import _ANN
-from graphloom.plans.catalog import query
+from graphloom.plans.catalog import SQL, query
 from graphloom.plans.graphplans import _walk as walk_sql
 from graphloom.plans.joins import VERSIONS_SQL, _TESTS, annotations, references, snapshots
 from graphloom.plans.rules import _CLEAN, _GUARD, _SMELLS_LOW, _LOW, _intent_sql, _review_sql, refactor_plan, smells, targets, violations
@@ -212,7 +212,7 @@ def review(g: Graph) -> DataFrame:
     return found(g.heavy("symbols")).join(review_scope(g), "id").groupBy("depth", "rule", "severity").agg(F.count("*").alias("symbols"), F.sum("n").alias("n"))
 
 
-@query("cmp16_refactor_report")
+@query("cmp16_refactor_report", "SELECT smell, risk, effort, count(*) AS n, max(symbols_affected) AS most_symbols, (max(effort) = 'quick') AS quick FROM (" + SQL["rul10_refactor_plan"] + ") GROUP BY 1, 2, 3")
 def refactor_report(g: Graph) -> DataFrame:
     """The refactoring plan counted: by smell, risk and effort, with the quick ones told apart."""
     p = refactor_plan(g)

@@ -73,3 +73,15 @@ def as_of(g: Graph) -> DataFrame:
 def within_hour(g: Graph) -> DataFrame:
     e = g.table("events").select("event_id", "user_id", "ts", "event_type")
     return O.within(e.where("event_type = 'signup'"), e.where("event_type = 'click'"), "user_id", "ts", 3600).select(F.col("l_event_id").alias("signup"), F.col("r_event_id").alias("click"))
+
+
+@query("str09_result_cache", "WITH r AS (SELECT path, hash, size, dense_rank() OVER (PARTITION BY path ORDER BY parsed_at DESC NULLS LAST) AS rk FROM files), n AS (SELECT DISTINCT path, hash, size FROM r WHERE rk = 1), o AS (SELECT DISTINCT path, hash FROM r WHERE rk = 2) SELECT n.path, (o.path IS NOT NULL AND o.hash = n.hash) IS TRUE AS kept FROM n LEFT JOIN o ON o.path = n.path")
+def result_cache(g: Graph) -> DataFrame:
+    """Results of the version before the current one, used again where the hash is the same and made anew elsewhere."""
+    from graphloom.operators.versions import latest
+    from graphloom.streaming.cache import refreshed
+
+    v = g.table("files").select("path", "hash", "parsed_at")
+    now = latest(v, "path", "parsed_at", "hash", F.col("parsed_at").alias("at"))
+    old = latest(v.join(now.select("path", "at"), "path").where("parsed_at < at"), "path", "parsed_at", "hash").withColumn("kept", F.lit(True))
+    return refreshed(old, now.select("path", "hash"), lambda df: df.withColumn("kept", F.lit(False))).select("path", "kept")

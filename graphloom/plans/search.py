@@ -46,7 +46,7 @@ def cosine_to_label(g: Graph) -> DataFrame:
 @query("sim06_vector_topk", "WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, q WHERE list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) > 0.05 ORDER BY score DESC, vec_id LIMIT 10")
 def vector_topk(g: Graph) -> DataFrame:
     v = g.table("embeddings")
-    q = v.where("vec_id = 0").select("embedding").first()[0]  # one vector
+    q = v.where("vec_id = 0").select(F.col("embedding").alias("query")).limit(1)
     return S.top_similar(v, q, "vec_id", "embedding", 10).select("vec_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "vec_id")
 
 
@@ -75,10 +75,10 @@ SELECT a.id, round(coalesce(kw.score, 0) * 0.3 + coalesce(vec.score, 0) * 0.5 +
 )
 def hybrid(g: Graph) -> DataFrame:
     v = _vectors(g)
-    q = v.orderBy("id").select("embedding").first()
+    q = v.orderBy("id").limit(1).select(F.col("embedding").alias("query"))
     nodes = g.symbols("id", "name", "doc_comment")
     calls = g.edges("calls").join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    vec = S.top_similar(v, q[0], "id", "embedding", 20) if q else v.select("id", F.lit(0.0).alias("score")).limit(0)
+    vec = S.top_similar(v, q, "id", "embedding", 20)
     return S.hybrid(S.keyword_hits(nodes, "queue", 20), vec, calls, 10)
 
 

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.model import Graph, sql
 from graphloom.operators import linux as L
 from graphloom.operators.versions import latest
 from graphloom.plans.catalog import query
+from graphloom import fixtures as X
+from graphloom.sources import documents as D
 from graphloom.sources import files as S
+from graphloom.storage import scratch
+
+ROW = T.StructType([T.StructField(x, T.StringType()) for x in ("id", "name")])
 
 
 @query("src04_changes", "WITH r AS (SELECT path, hash, parsed_at, row_number() OVER (PARTITION BY path ORDER BY parsed_at DESC NULLS LAST) AS rn FROM (SELECT DISTINCT path, hash, parsed_at FROM files)), n AS (SELECT path, hash FROM r WHERE rn = 1), o AS (SELECT path, hash FROM r WHERE rn = 2) SELECT n.path, CASE WHEN o.path IS NULL THEN 'new' WHEN o.hash = n.hash THEN 'same' ELSE 'changed' END AS status FROM n LEFT JOIN o ON o.path = n.path")
@@ -35,10 +41,66 @@ def languages(g: Graph) -> DataFrame:
 
 @query("src07_parse_code")
 def parsed(g: Graph) -> DataFrame:
-    """Symbols parsed anew from the code of the current classes and functions, each taken as a file of its own."""
-    code = F.when(F.col("kind").isin("class", "function"), F.struct("source_code", "language"))
-    s = latest(g.heavy("symbols"), "id", "updated_at", code.alias("c")).where("c.source_code IS NOT NULL").select("id", F.col("c.source_code").alias("text"), F.col("c.language").alias("language"))
-    return S.parse(s, "id")
+    """All files parsed anew: how many of the table's classes, functions and methods the parser finds again by file and
+    name, by language and kind. Code that breaks off isn't found."""
+    made = S.parse(S.rebuilt(g.heavy("symbols"))).select("path", "name").distinct().withColumn("found", F.lit(True))
+    has = F.coalesce(F.length("source_code") > 0, F.lit(False))
+    s = latest(g.table("symbols"), "id", "updated_at", F.col("file_path").alias("path"), "name", "kind", "language", has.alias("has")).where(F.col("has") & F.col("kind").isin("class", "function", "method"))
+    return s.join(made, ["path", "name"], "left").groupBy("language", "kind").agg(F.count("*").alias("n"), F.count_if(F.coalesce("found", F.lit(False))).alias("found"))
+
+
+_EXTENSIONS = " ".join(f"WHEN '{e}' THEN '{l}'" for e, l in S.LANGUAGES.items())
+
+
+@query("src01_discover", X.sql(f"f AS (SELECT path, text, CASE lower(regexp_extract(path, '(\\.[^./]*)$', 1)) {_EXTENSIONS} END AS language FROM fx WHERE NOT regexp_matches(path, '{S.SKIPPED}')) SELECT path, language, length(text) AS size, len(string_split(text, chr(10)))::INTEGER AS line_count, sha256(text) AS hash FROM f WHERE language IS NOT NULL"))
+def discovered(g: Graph) -> DataFrame:
+    """Source files of a folder with their facts (SRC01 to SRC03): the sample project written out and read."""
+    folder = scratch(g.spark, "project")
+    X.write(g.spark, folder)
+    return S.discover(g.spark, folder).select("path", "language", "size", "line_count", "hash")
+
+
+@query("src06_all_languages", "SELECT ext, language FROM (VALUES " + ", ".join(f"('{e}', '{l}')" for e, l in S.LANGUAGES.items()) + ", ('.md', NULL), ('', NULL)) AS t(ext, language)")
+def all_languages(g: Graph) -> DataFrame:
+    rows = g.spark.createDataFrame([(e,) for e in (*S.LANGUAGES, ".md", "")], "ext string")
+    return rows.select("ext", S.language(F.concat(F.lit("a.b/c"), F.upper("ext"))).alias("language"))
+
+
+@query("src12_symbols_by_layer", sql("SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY file_path, start_line, id) AS place FROM sym WHERE layer IS NOT NULL"))
+def by_layer(g: Graph) -> DataFrame:
+    """The symbols of each layer by file and line; a layer may hold a third of all, so places come by ranges."""
+    from pyspark.sql import Window as W
+
+    from graphloom.operators.ordering import global_rank
+
+    r = global_rank(g.symbols("layer", "file_path", "start_line").where("layer IS NOT NULL"), ["layer", F.asc_nulls_last("file_path"), F.asc_nulls_last("start_line"), "id"])
+    first = r.groupBy("layer").agg(F.min("rank").alias("first"))
+    return r.join(F.broadcast(first), "layer").select("id", "layer", (F.col("rank") - F.col("first") + 1).cast("long").alias("place"))
+
+
+@query("src15_annotations_of_symbols", "WITH ann AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rn FROM annotations) WHERE rn = 1) SELECT symbol_id, id, row_number() OVER (PARTITION BY symbol_id ORDER BY created_at DESC NULLS LAST, id) AS place FROM ann")
+def annotations_of(g: Graph) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    a = latest(g.table("annotations"), "id", "updated_at", "symbol_id", "created_at")
+    return a.select("symbol_id", "id", F.row_number().over(W.partitionBy("symbol_id").orderBy(F.desc_nulls_last("created_at"), "id")).cast("long").alias("place"))
+
+
+@query("src18_snapshot", sql("SELECT 'there' AS snapshot, count(*) AS n FROM sym UNION ALL SELECT 'missing', 0"))
+def snapshots(g: Graph) -> DataFrame:
+    """A snapshot read back, and one that isn't there, which is empty."""
+    from graphloom.sinks import writers
+
+    path = scratch(g.spark, "snapshot") + "/graph.json"
+    writers.save(g.symbols("id", "name"), path, form="json")
+    n = lambda p, what: D.snapshot(g.spark, p, ROW).agg(F.lit(what).alias("snapshot"), F.count("*").alias("n"))
+    return n(path, "there").unionByName(n(path + ".missing", "missing"))
+
+
+@query("src19_team_data", "SELECT * FROM (VALUES ('a1', 's1', 'ann'), ('a2', 's2', 'bob')) AS t(id, symbol_id, user_id)")
+def team_data(g: Graph) -> DataFrame:
+    files = g.spark.createDataFrame([("team.json", '{"version": "1.0", "annotations": [{"id": "a1", "symbol_id": "s1", "user_id": "ann", "content": "x", "type": "note"}, {"id": "a2", "symbol_id": "s2", "user_id": "bob"}]}')], "path string, text string")
+    return D.team_data(files).select("id", "symbol_id", "user_id")
 
 
 @query("src11_symbols_by_file", sql("SELECT id, file_path, row_number() OVER (PARTITION BY file_path ORDER BY start_line, id) AS place FROM sym"))

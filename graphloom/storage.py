@@ -1,7 +1,8 @@
 """Lineage cuts: tables in the folder all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, local runs) a
-temporary folder is used. The tables live as long as the driver process.
+The folder is the session's ``spark.checkpoint.dir``. Only in local mode, where one machine runs all, a temporary
+folder is used if that is unset; elsewhere it is an error, as each node would write to its own disk. The tables live as
+long as the driver process, or until another one takes their place.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-shared-")
@@ -33,15 +37,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the written table: a reliable end of the lineage."""
+def cut(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), instead_of: DataFrame | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and returns the written table: a reliable end of the lineage.
+
+    The table that ``instead_of`` was read from, itself made here, is deleted then: nothing else may read it any more.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    if (old := getattr(instead_of, "_scratch", None)) is not None:
+        drop(spark, old)
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:
