@@ -47,6 +47,22 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+#: The runs of one class that a piece of the known pattern can be, white space apart.
+RUNS = [regex.compile(rf" ?{c}+") for c in (r"\p{L}", r"\p{N}", rf"[^{WHITE}\p{{L}}\p{{N}}]")]
+
+
+def _same(run: regex.Pattern, held: str, source: Iterator[str], rest: list[str]) -> Iterator[bytes]:
+    """The bytes of a run that begins with ``held``, as far as it goes; what follows is left in ``rest``."""
+    yield held.encode("utf-8", "surrogatepass")
+    for chunk in source:
+        m = run.match("x" + chunk if run is RUNS[0] else "1" + chunk if run is RUNS[1] else "!" + chunk)
+        n = m.end() - 1
+        yield chunk[:n].encode("utf-8", "surrogatepass")
+        if n < len(chunk):
+            rest[0] = chunk[n:]
+            return
+
+
 class Machine(dict):
     """The transducer of one vocabulary. As a mapping it goes from pieces to their ids, and forgets all when full."""
 
@@ -59,7 +75,8 @@ class Machine(dict):
         # The white space of the vocabulary's own library is Unicode's White_Space, without the information separators.
         own = (pattern or default_pattern()).replace("[^\\s", f"[^{WHITE}").replace("\\S", f"[^{WHITE}]").replace("\\s", f"[{WHITE}]")
         self.pieces = self._any = regex.compile(own).findall
-        if (pattern or default_pattern()) == KNOWN:  # the same for ASCII only, several times as fast
+        self.known = (pattern or default_pattern()) == KNOWN
+        if self.known:  # the same for ASCII only, several times as fast
             ascii_only = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
             self.pieces = lambda text: ascii_only(text) if text.isascii() else self._any(text)
         self.edges = regex.compile(rf"(?r)(?<=[^{WHITE}])(?=[{WHITE}])")
@@ -124,7 +141,7 @@ class Machine(dict):
             if len(data) > 128:
                 return ids
         else:
-            return tuple(self.stream([data]))
+            return tuple(self.stream(data[i : i + CHUNK] for i in range(0, len(data), CHUNK)))
         if len(self) >= CACHE:
             self.clear()
         self[piece] = ids
@@ -196,9 +213,14 @@ class Machine(dict):
     # --- text
 
     def transduce(self, chunks: Iterable[str]) -> Iterator[array]:
-        """Arrays of ids for a text that comes by chunks."""
+        """Arrays of ids for a text that comes by chunks; what is held is what no boundary closes yet.
+
+        A run of one class (letters, digits, other signs) that outgrows a chunk is handed on to ``stream`` as it comes, so
+        it takes no memory of its own either. Runs of white space are held, as what follows decides how they end.
+        """
+        source = iter(chunks)
         held = ""
-        for chunk in chunks:
+        for chunk in source:
             held += chunk
             if len(held) < CHUNK:
                 continue
@@ -214,6 +236,16 @@ class Machine(dict):
             if cut:
                 yield array("i", chain.from_iterable(map(self.__getitem__, self.pieces(held[:cut]))))
                 held = held[cut:]
+            elif self.known and (run := next((r for r in RUNS if r.fullmatch(held)), None)):
+                rest = [""]
+                part = array("i")
+                for i in self.stream(_same(run, held, source, rest)):
+                    part.append(i)
+                    if len(part) >= CHUNK:
+                        yield part
+                        part = array("i")
+                yield part
+                held = rest[0]
         if held:
             yield array("i", chain.from_iterable(map(self.__getitem__, self.pieces(held))))
 
@@ -293,3 +325,26 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m.encode(t)) for t in batch.column(1).to_pylist()], pa.int64())], names=[key, "n_tokens"])
 
     return docs.select(key, text).mapInArrow(run, schema)
+
+
+def decode_corpus(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(key, text): the text of every list of ids, decoded id by id; empty for empty and null lists. Bytes that no
+    character makes up come out as the tokenizer's texts had them."""
+    path = path or default_vocabulary()
+    schema = T.StructType([T.StructField(key, encoded.schema[key].dataType), T.StructField("text", T.StringType())])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        from graphloom.llm.bpe import Decoder
+        from graphloom.llm.bpe import machine as get
+
+        m = get(path, pattern)
+        for batch in batches:
+            out = []
+            for row in batch.column(1):
+                d = Decoder(m)
+                out.append("".join(d.feed((i.as_py(),)) for i in row.values) + d.feed((), final=True) if row.is_valid else "")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "text"])
+
+    return encoded.select(key, ids).mapInArrow(run, schema)

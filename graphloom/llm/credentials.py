@@ -360,3 +360,32 @@ def redacted(symbols: DataFrame) -> DataFrame:
 
     rows = latest(symbols, "id", "updated_at", "source_code", "file_path")
     return rows.select("id", _redacted("source_code", "file_path").alias("source_code"))
+
+
+CHECKED = T.StructType([T.StructField("clean", T.BooleanType()), T.StructField("kept", T.BooleanType())])
+
+
+@F.pandas_udf(CHECKED)
+def _checked(codes, paths):  # noqa: ANN001, ANN202
+    import pandas as pd
+
+    rows = []
+    for c, p in zip(codes, paths, strict=True):
+        out = redact(c, p)
+        spans = sorted({s for x in scan(c, p) for s in x.spans}) if c else []
+        at, kept, pos = 0, True, 0
+        for a, b in spans:  # what stands between the secrets stands between the masks
+            if a < at:
+                continue
+            kept = kept and out[pos : pos + a - at] == c[at:a] and out[pos + a - at :].startswith(MASK)
+            pos, at = pos + a - at + len(MASK), b
+        kept = kept and (out or "")[pos:] == (c or "")[at:]
+        rows.append((not scan(out, p), kept and (out is None) == (c is None)))
+    return pd.DataFrame(rows, columns=["clean", "kept"])
+
+
+def redaction_check(symbols: DataFrame) -> DataFrame:
+    """(id, clean, kept): whether the redacted code of each symbol has no credential left, and nothing but credentials changed."""
+    from graphloom.operators.versions import latest
+
+    return latest(symbols, "id", "updated_at", _checked(F.col("source_code"), F.col("file_path")).alias("c")).select("id", "c.clean", "c.kept")

@@ -7,8 +7,9 @@ perturbation sets come from one precomputed sequence (expected squared distances
 to each vector's own order of borders. The candidates of all tables are merged and ranked by exact cosine.
 
 Equal vectors are one class, so copies cost nothing. In a bucket with more than ``bucket_cap`` classes every part of
-those asking is compared with every part of the members, and only the best are kept as candidates. Vectors that found too few candidates look again through fewer projections, and what is
-left then is compared with all vectors in blocks.
+those asking is compared with every part of the members, and only the best are kept as candidates. Vectors that found
+too few candidates look again through fewer projections, and what is left then is compared with all vectors in the
+same way, part by part.
 """
 
 from __future__ import annotations
@@ -261,11 +262,11 @@ def nearest(df: DataFrame, key: str = "symbol_id", vector: str = "embedding", k:
             break
         asking = classes.join(left, "v", "left_semi")
     else:
-        # All vectors, in blocks of bounded size, for those that still lack candidates.
-        salts = max(1, math.ceil(n / 4096))
-        data = classes.select(F.pmod("v", F.lit(salts).cast("long")).alias("salt"), "v")
-        last = left.select(F.col("v").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-        found = found.unionByName(last.join(data, "salt").where("q <> v").groupBy("q").agg(F.collect_set("v").alias("xs")))
+        # Those that still lack candidates against all vectors, part by part; of each part only the best are kept.
+        one = F.lit(0).cast("long").alias("key")
+        rest = cut(left.select(one, F.col("v").alias("q")), "lacking")
+        whole = spark.createDataFrame([(0, n)], "key long, members long")
+        found = found.unionByName(_dense(classes, classes.select(one, "v"), rest, whole, 4 * k).groupBy("q").agg(F.collect_set("v").alias("xs")))
     # What one vector ranks high is a candidate of the other one too, at no further comparison.
     best = cut(_rank(classes, places, found, 3 * k), "ranked")
     best = best.unionByName(best.select(F.col("x").alias("q"), F.col("q").alias("x"), "similarity")).distinct()

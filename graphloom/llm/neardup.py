@@ -207,8 +207,8 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
     return checked.select("cid_a", "cid_b", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
-def near_duplicates(symbols: DataFrame, threshold: float = 0.7, width: int = 3, least: int = 40) -> DataFrame:
-    """(id_a, id_b, similarity) of all pairs of current functions and methods that are alike, equal ones among them.
+def classes_and_links(symbols: DataFrame, threshold: float = 0.7, width: int = 3, least: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(id, cid), the set that each current function and method has, and (cid_a, cid_b, similarity) between sets alike.
 
     Sets are computed where the rows lie; of older versions the sets are dropped before anything is compared. Null
     and empty code and code with fewer than ``least`` tokens have no partners.
@@ -218,7 +218,34 @@ def near_duplicates(symbols: DataFrame, threshold: float = 0.7, width: int = 3,
     sets = cut(sets.withColumn("cid", F.xxhash64("shingles")), "sets")
     current = latest(symbols, "id", "updated_at", "kind", F.xxhash64("source_code").alias("h")).where(F.col("kind").isin("function", "method"))
     members = cut(sets.select("id", "h", "cid").join(current.select("id", "h"), ["id", "h"], "left_semi").select("id", "cid").distinct(), "members")
-    pairs = cut(similar_pairs(sets.select("cid", "size", "shingles"), threshold), "pairs")
+    return members, cut(similar_pairs(sets.select("cid", "size", "shingles"), threshold), "pairs")
+
+
+def duplicate_classes(symbols: DataFrame, threshold: float = 0.7, width: int = 3, least: int = 40) -> DataFrame:
+    """(id, class_id, copies, links): one row for each function or method compared, without any list of pairs.
+
+    ``class_id`` is the least id that links lead to, however far round, ``copies`` the number of others with an equal
+    set and ``links`` the number of others that are alike, copies among them. A body with a hundred thousand copies is
+    one set here.
+    """
+    from graphloom.operators.graph import components
+
+    members, pairs = classes_and_links(symbols, threshold, width, least)
+    size = members.groupBy("cid").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    other = size.select(F.col("cid").alias("other"), F.col("n").alias("m"))
+    both = pairs.select(F.col("cid_a").alias("cid"), F.col("cid_b").alias("other")).unionByName(pairs.select(F.col("cid_b").alias("cid"), F.col("cid_a").alias("other")))
+    linked = both.join(other, "other").groupBy("cid").agg(F.sum("m").alias("m"))
+    comp = components(size.select(F.col("cid").alias("id")), pairs.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))).withColumnRenamed("id", "cid")
+    named = comp.join(size, "cid")
+    least_id = named.groupBy("component").agg(F.min("first").alias("class_id"))
+    rows = named.join(least_id, "component").join(linked, "cid", "left").select("cid", "class_id", (F.col("n") - 1).alias("copies"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+    return members.join(rows, "cid").select("id", "class_id", "copies", "links")
+
+
+def near_duplicates(symbols: DataFrame, threshold: float = 0.7, width: int = 3, least: int = 40) -> DataFrame:
+    """(id_a, id_b, similarity) of all pairs of current functions and methods that are alike, equal ones among them: the
+    classes of ``duplicate_classes`` written out, which takes as much room as there are pairs."""
+    members, pairs = classes_and_links(symbols, threshold, width, least)
     m = lambda x: members.select(F.col("id").alias(f"id_{x}"), F.col("cid").alias(f"cid_{x}"))
     other = pairs.join(m("a"), "cid_a").join(m("b"), "cid_b")
     same = m("a").withColumnRenamed("cid_a", "cid").join(m("b").withColumnRenamed("cid_b", "cid"), "cid").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,11 +95,13 @@ def _pack(items: DataFrame, capacity: int, key_type: str) -> DataFrame:
     return items.groupBy("grp").applyInPandas(run, SCHEMA.format(key=key_type))
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = 2048, per_group: int = 20_000, rounds: int = 3) -> DataFrame:
+def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = 2048, per_group: int = 20_000) -> DataFrame:
     """(container, key, token_start, token_end): every token of every item exactly once, at most ``capacity`` a container.
 
     Items above the capacity are divided into whole containers and a rest; no other item is divided. Items of size 0
-    or null get no rows. ``key`` must be unique. Containers are numbered without meaning.
+    or null get no rows. ``key`` must be unique. Containers are numbered without meaning. ``per_group`` items are packed
+    in one task; groups whose number of containers isn't proven least are mixed anew as long as that saves any, so what
+    a single packing of all might still save is at most what remains above the bound that ``certificate`` gives.
     """
     key_type = sizes.schema[key].dataType.simpleString()
     base = sizes.where(F.col(size) > 0).select(F.col(key).alias("item_key"), F.col(size).cast("long").alias("n"))
@@ -106,11 +109,11 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     full = whole.select(F.concat_ws(":", F.lit("w"), F.xxhash64("item_key").cast("string"), F.col("item_key").cast("string"), F.col("i").cast("string")).alias("container"), "item_key", (F.col("i") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n"))
     rest = base.select("item_key", (F.expr(f"n div {capacity}") * capacity).alias("start"), F.expr(f"n % {capacity}").alias("n")).where("n > 0")
     done, todo = None, rest
-    for r in range(rounds + 1):
-        count = todo.count()
-        if not count:
+    for r in count():
+        n = todo.count()
+        if not n:
             break
-        groups = max(1, math.ceil(count / per_group))
+        groups = max(1, math.ceil(n / per_group))
         mixed = todo.withColumn("grp", F.pmod(F.xxhash64("item_key", F.lit(r)), F.lit(groups)))
         packed = cut(_pack(mixed.select("grp", "item_key", "start", "n"), capacity, key_type), "packed")
         named = packed.withColumn("container", F.concat_ws(":", F.lit(f"r{r}"), "grp", "bin")).drop("grp", "bin")

@@ -48,3 +48,32 @@ def test_table(spark):
     assert got == {1: REF.encode_ordinary("Hello world"), 2: [], 3: [], None: REF.encode_ordinary("a")}
     assert {r["doc_id"]: r["n_tokens"] for r in bpe.count_tokens(df).collect()}[2] == 0
     assert bpe.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_runs_without_a_boundary_are_streamed():
+    import tiktoken
+
+    from graphloom.llm import bpe
+
+    m = bpe.machine(bpe.default_vocabulary())
+    enc = tiktoken.Encoding("x", pat_str=bpe.default_pattern(), mergeable_ranks=m.ranks, special_tokens={})
+    size = bpe.CHUNK
+    try:
+        bpe.CHUNK = 500  # so that runs outgrow chunks
+        for text in ("ab" * 4000 + " end. 12", "7" * 3000 + "x", "!?" * 2000 + "a b", "漢字" * 1500 + "。x", " " * 3000 + "a", "a" * 2600 + " " + "b" * 2600 + "'s", "é" * 700 + "1" * 700 + "-" * 700 + "\n\n x"):
+            parts = [list(p) for p in m.transduce(text[i : i + 500] for i in range(0, len(text), 500))]
+            assert [i for p in parts for i in p] == enc.encode_ordinary(text)
+            d = bpe.Decoder(m)
+            assert "".join(d.feed([i]) for p in parts for i in p) + d.feed([], final=True) == text
+    finally:
+        bpe.CHUNK = size
+
+
+def test_decode_corpus(spark):
+    from graphloom.llm import bpe
+
+    texts = ["", None, "Grüße 漢字 🙂", "a\r\n\tb", "x" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in bpe.decode_corpus(bpe.encode_corpus(df)).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
+    assert bpe.decode_corpus(bpe.encode_corpus(df.limit(0))).count() == 0

@@ -149,3 +149,13 @@ def test_key_blocks_of_any_length_and_without_an_end():
     assert [x.line_no for x in scan(code + 'password = "Hunter2xQ9"\n')] == [1, code.count("\n") + 1]
     escaped = 'k = "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join([line] * 3) + '\\nQQ==\\n-----END PRIVATE KEY-----\\n"\n'
     assert len(scan(escaped)) == 1 and line not in redact(escaped)
+
+
+def test_redaction_check(spark):
+    import datetime as dt
+
+    from graphloom.llm.credentials import redaction_check
+
+    rows = [(f"r{i}", "x.env", line + "\nnext = 1\n" + line, dt.datetime(2024, 1, 1)) for i, line in enumerate(FOUND + CLEAN + GATED)] + [("null", "x", None, dt.datetime(2024, 1, 1)), ("empty", "x", "", None)]
+    got = redaction_check(spark.createDataFrame(rows, "id string, file_path string, source_code string, updated_at timestamp")).collect()
+    assert len(got) == len(rows) and all(r["clean"] and r["kept"] for r in got)

@@ -92,3 +92,14 @@ def test_perturbations():
     p = perturbations(10, 50)
     assert p[0] == () and len(set(p)) == 50
     assert all(19 - r not in s for s in p for r in s)
+
+
+def test_lonely_vectors_are_compared_with_all_part_by_part(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PART", 64, raising=False)
+    rng = np.random.default_rng(4)
+    v = {f"s{i:04d}": rng.standard_normal(D) for i in range(300)}  # no two near each other
+    got = {}
+    for r in nearest(spark.createDataFrame(rows(v), S), dim=D, functions=16, tables=1, probes=1, width=0.05).orderBy("symbol_id", "rank").collect():
+        got.setdefault(r["symbol_id"], []).append(r["neighbour"])
+    want = brute(v)
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) / (5 * len(want)) >= 0.97

@@ -48,3 +48,19 @@ def test_against_brute_force(spark, monkeypatch, light):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], S)).count() == 0
+
+
+def test_classes_of_many_copies(spark):
+    import datetime as dt
+
+    from graphloom.llm.neardup import duplicate_classes, near_duplicates
+
+    base = [f"tok{i}" for i in range(60)]
+    rows = [(f"c{i:03d}", " ".join(base)) for i in range(150)]  # one body, many copies
+    rows += [("near", " ".join(base[:58] + ["x", "y"])), ("far", " ".join(f"q{i}" for i in range(60))), ("short", "a b c"), ("none", None)]
+    df = spark.createDataFrame([(i, "function", t, dt.datetime(2024, 1, 1)) for i, t in rows], "id string, kind string, source_code string, updated_at timestamp")
+    got = {r["id"]: (r["class_id"], r["copies"], r["links"]) for r in duplicate_classes(df).collect()}
+    assert got == {**{f"c{i:03d}": ("c000", 149, 150) for i in range(150)}, "near": ("c000", 0, 150), "far": ("far", 0, 0)}
+    pairs = near_duplicates(df).count()
+    assert pairs == sum(links for _, _, links in got.values()) // 2
+    assert duplicate_classes(df.limit(0)).count() == 0
