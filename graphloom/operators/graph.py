@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.ordering import global_rank
 from graphloom.storage import cut
 
 STEPS = 3  # steps along edges between two written tables, where a round's table is small
@@ -180,7 +181,11 @@ def shortest_cycles(edges: DataFrame) -> DataFrame:
     node. Self-loops are no cycles. Only edges within strong components are followed, and a node's search ends where
     it comes back to it, so what is on no cycle costs nothing.
     """
-    e = _cyclic(edges)
+    cyclic = _cyclic(edges)
+    # Ways are kept as the places of nodes in the order of their ids, which compare as the ids do and take less room.
+    nodes = cut(global_rank(cyclic.select(F.col("a").alias("id")).distinct(), ["id"], "n").select("id", F.col("n").cast("int").alias("n")), "cycle-nodes")
+    place = lambda k: nodes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"))
+    e = cut(cyclic.join(place("a"), "a").join(place("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b")), "cycle-edges")
     frontier = cut(e.select(F.col("a").alias("s"), F.col("b").alias("id"), F.array("a", "b").alias("way")), "walks")
     seen, found = frontier, None
     while not frontier.isEmpty():
@@ -192,10 +197,11 @@ def shortest_cycles(edges: DataFrame) -> DataFrame:
         frontier = cut(on.select("s", "id", F.col("next").alias("way")), "walks")
         seen = seen.unionByName(frontier)
     if found is None:
-        return e.select(F.lit(0).alias("length"), F.array("a").alias("chain")).limit(0)
-    place = F.array_position("chain", F.array_min("chain")).cast("int")
-    turned = F.concat(F.slice("chain", place, F.size("chain")), F.slice("chain", 1, place - 1))
-    return found.select(F.size("chain").alias("length"), turned.alias("chain")).distinct()
+        return cyclic.select(F.lit(0).alias("length"), F.array("a").alias("chain")).limit(0)
+    at = F.array_position("chain", F.array_min("chain")).cast("int")
+    turned = found.select(F.concat(F.slice("chain", at, F.size("chain")), F.slice("chain", 1, at - 1)).alias("c")).distinct()
+    named = turned.select("c", F.posexplode("c").alias("pos", "n")).join(nodes, "n").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("l"))
+    return named.select(F.size("c").alias("length"), F.transform("l", lambda x: x["id"]).alias("chain"))
 
 
 def levels(edges: DataFrame) -> DataFrame:

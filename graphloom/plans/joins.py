@@ -11,6 +11,7 @@ from graphloom.operators.coverage import TEST_FILES, TEST_PATH, WORD, test_refer
 from graphloom.operators.versions import latest
 from graphloom.plans.catalog import query
 from graphloom.sources.files import PROBES, resolve_imports
+from graphloom.storage import cut
 
 
 @query("join01_callers", sql("SELECT e.dst AS id, s.id AS caller_id, s.name AS caller_name, s.kind AS caller_kind FROM edg e JOIN sym s ON s.id = e.src WHERE e.kind = 'calls'"))
@@ -182,7 +183,7 @@ def references(g: Graph) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.coalesce("source_code", F.lit("")), F.lit(WORD), F.lit(0)))
     test = F.coalesce(F.col("file_path").rlike(TEST_FILES), F.lit(False))
     s = latest(g.table("symbols"), "id", "updated_at", "name", "file_path", "exported", F.when(test, words).alias("words"), F.when(test, F.col("source_code")).alias("source_code"))
-    return test_references(s)
+    return test_references(cut(s, "referenced"))
 
 
 @query("join17_test_references", sql(_TESTS + " SELECT id, count(DISTINCT test_id) AS tests, count(DISTINCT file_path) AS files FROM r GROUP BY 1"))
