@@ -224,7 +224,7 @@ def context_metrics(g: Graph) -> DataFrame:
     """What is told of each class and function besides its neighbours: callers, callees, tests, complexity, lines."""
     lines = F.coalesce(F.length("source_code") - F.length(F.translate("source_code", "\n", "")) + 1, F.lit(0)).cast("long")
     s = latest(g.table("symbols"), "id", "updated_at", "kind", F.coalesce("complexity", F.lit(0)).alias("complexity"), lines.alias("lines"))
-    t = references(g).groupBy("id").agg(F.countDistinct("test_id").alias("tests"))
+    t = references(g).select("id", "tests")
     r = _in_out(g, s).where("kind IN ('class', 'function')").join(t, "id", "left")
     return r.select("id", "callers", "callees", F.coalesce("tests", F.lit(0)).cast("long").alias("tests"), "complexity", "lines")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import Graph, sql
 from graphloom.operators import relations as R
-from graphloom.operators.coverage import TEST_FILES, TEST_PATH, WORD, test_references
+from graphloom.operators.coverage import TEST_FILES, TEST_PATH, test_counts
 from graphloom.operators.versions import latest
 from graphloom.plans.catalog import query
 from graphloom.sources.files import PROBES, resolve_imports
@@ -180,16 +180,14 @@ UNION SELECT x.id, t.file_path, t.id FROM x JOIN t ON contains(lower(t.name), lo
 
 
 def references(g: Graph) -> DataFrame:
-    words = F.array_distinct(F.regexp_extract_all(F.coalesce("source_code", F.lit("")), F.lit(WORD), F.lit(0)))
-    test = F.coalesce(F.col("file_path").rlike(TEST_FILES), F.lit(False))
-    s = latest(g.table("symbols"), "id", "updated_at", "name", "file_path", "exported", F.when(test, words).alias("words"), F.when(test, F.col("source_code")).alias("source_code"))
-    return test_references(cut(s, "referenced"))
+    code = F.when(F.col("file_path").rlike(TEST_FILES), F.col("source_code")).alias("source_code")
+    return test_counts(cut(latest(g.table("symbols"), "id", "updated_at", "name", "file_path", "exported", code), "referenced"))
 
 
 @query("join17_test_references", sql(_TESTS + " SELECT id, count(DISTINCT test_id) AS tests, count(DISTINCT file_path) AS files FROM r GROUP BY 1"))
 def tested(g: Graph) -> DataFrame:
     """Exported symbols that tests refer to, by file name, test name or code, with the numbers of tests and files."""
-    return references(g).groupBy("id").agg(F.countDistinct("test_id").alias("tests"), F.countDistinct("file_path").alias("files"))
+    return references(g)
 
 
 #: The graph as it is and as it was: of each symbol the current row and the row before it, if there is one.
