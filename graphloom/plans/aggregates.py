@@ -168,7 +168,7 @@ def guard_limits(g: Graph, callers: int = 20, complexity: int = 50) -> DataFrame
 @query("agg17_coverage", sql(_TESTS + ", c AS (SELECT s.layer, s.kind, (s.id IN (SELECT id FROM r)) AS has FROM sym s JOIN x ON x.id = s.id) SELECT layer, kind, count(*) AS n, count(*) FILTER (WHERE has) AS covered, round(100.0 * count(*) FILTER (WHERE has) / count(*), 4) AS percent FROM c GROUP BY GROUPING SETS ((layer, kind), (layer), (kind), ())"))
 def coverage(g: Graph) -> DataFrame:
     """Share of the exported symbols that tests refer to, by layer and kind, by each alone and in all."""
-    hit = references(g).select("id").distinct().withColumn("has", F.lit(True))
+    hit = references(g).select("id", F.lit(True).alias("has"))
     s = g.symbols("name", "file_path", "exported", "layer", "kind")
     x = s.where(F.coalesce("exported", F.lit(False)) & ~F.coalesce(F.col("file_path").rlike(TEST_FILES), F.lit(False)) & F.col("file_path").isNotNull() & (F.length("name") > 0))
     c = x.join(hit, "id", "left").withColumn("has", F.coalesce("has", F.lit(False)))

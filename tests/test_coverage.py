@@ -39,3 +39,8 @@ def same(spark, path, name):
 def test_join17(spark, tmp_path):
     plan = same(spark, folder(spark, tmp_path), "join17_test_references")
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") < 25  # each costs the driver memory
+
+
+def test_agg17(spark, tmp_path):
+    plan = same(spark, folder(spark, tmp_path), "agg17_coverage")
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") < 28
