@@ -44,3 +44,8 @@ def test_join17(spark, tmp_path):
 def test_agg17(spark, tmp_path):
     plan = same(spark, folder(spark, tmp_path), "agg17_coverage")
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") < 28
+
+
+def test_cmp13(spark, tmp_path):
+    plan = same(spark, folder(spark, tmp_path), "cmp13_context_metrics")
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") < 33
