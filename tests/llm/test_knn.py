@@ -1,8 +1,11 @@
 import datetime as dt
+import glob
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from graphloom import storage
 from graphloom.llm import knn
 from graphloom.llm.knn import nearest, neighbour_pairs, perturbations
 
@@ -103,3 +106,25 @@ def test_lonely_vectors_are_compared_with_all_part_by_part(spark, monkeypatch):
         got.setdefault(r["symbol_id"], []).append(r["neighbour"])
     want = brute(v)
     assert sum(len(set(got[i]) & set(want[i])) for i in want) / (5 * len(want)) >= 0.97
+
+
+def test_groups_give_the_same_and_leave_no_candidates(spark):
+    v = {i: np.round(x / np.linalg.norm(x), 4) for i, x in data(6, n=500).items()}
+    df = spark.createDataFrame(rows(v), S).cache()
+    folder = storage.shared_dir(spark).removeprefix("file://") + "/graphloom/"
+    was = set(glob.glob(folder + "*"))
+    whole = sorted(map(tuple, nearest(df, dim=D, block=50).collect()))
+    new = {p.removeprefix(folder).rpartition("-")[0] for p in set(glob.glob(folder + "*")) - was}
+    assert new and not new & {"candidates", "buckets", "ranked", "units", "classes"}
+    assert sorted(map(tuple, nearest(df, dim=D, block=50, group=60).collect())) == whole
+    want = brute(v)
+    assert sum(n in want[i] for i, n, _, _ in whole) / (5 * len(want)) >= 0.97
+
+
+def test_packed_vectors_lose_nothing():
+    r = np.random.default_rng(7)
+    x = np.concatenate([np.round(r.standard_normal((5, D)), 4), r.standard_normal((4, D)).astype(np.float32), r.standard_normal((3, D)), 1e300 * r.standard_normal((2, D))])
+    packed = knn._pack(x)
+    assert [len(p) for p in packed] == [2 * D + 1] * 5 + [4 * D] * 4 + [8 * D] * 5
+    for column in (pa.array(packed), pa.array([b"-", *packed])[1:], pa.chunked_array([pa.array(packed[:6]), pa.array(packed[6:])])):
+        assert (knn._matrix(column, D) == knn._unit(x)).all()
