@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from graphloom.model import EDGES, SYMBOLS
+from graphloom.operators import coverage
 from graphloom.plans import catalog
 
 
@@ -49,3 +50,20 @@ def test_agg17(spark, tmp_path):
 def test_cmp13(spark, tmp_path):
     plan = same(spark, folder(spark, tmp_path), "cmp13_context_metrics")
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") < 33
+
+
+def test_driver_holds_no_grams(spark, tmp_path, monkeypatch):
+    path, plans = folder(spark, tmp_path), []
+    cut = coverage.cut
+    monkeypatch.setattr(coverage, "cut", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, *a))[1])
+    plans.append(same(spark, path, "cmp13_context_metrics").split("== Initial Plan ==")[-1])
+    exploded, most = [], 0
+    for plan in plans:
+        lines = [(len(x) - len(x.lstrip(" :+-")), x.lstrip(" :+-")) for x in plan.splitlines()]
+        most = max(most, sum("Join" in x.split(" ")[0] for _, x in lines))
+        for k, (depth, x) in enumerate(lines):
+            if x.startswith("BroadcastExchange"):
+                below = next((j for j in range(k + 1, len(lines)) if lines[j][0] <= depth), len(lines))
+                exploded += [y for _, y in lines[k + 1 : below] if y.startswith("Generate")]
+    assert not exploded  # their estimated size is that of what they were exploded from
+    assert len(plans) > 3 and most < 9  # the driver makes a whole plan anew with each of its stages
