@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from graphloom.model import Graph, sql
 from graphloom.operators import graph as O
 from graphloom.operators import relations as R
+from graphloom.operators.coverage import test_counts
 from graphloom.operators.versions import latest
 from graphloom.plans.aggregates import _ANN
 from graphloom.plans.catalog import SQL, query
 from graphloom.plans.graphplans import _walk as walk_sql
-from graphloom.plans.joins import VERSIONS_SQL, _TESTS, annotations, references, snapshots
+from graphloom.plans.joins import VERSIONS_SQL, _TESTS, annotations, referenced, snapshots
 from graphloom.plans.rules import _CLEAN, _GUARD, _SMELLS_LOW, _LOW, _intent_sql, _review_sql, refactor_plan, smells, targets, violations
 from graphloom.plans.rules import SQL_TARGETS
 from graphloom.storage import cut
@@ -223,9 +224,9 @@ def refactor_report(g: Graph) -> DataFrame:
 def context_metrics(g: Graph) -> DataFrame:
     """What is told of each class and function besides its neighbours: callers, callees, tests, complexity, lines."""
     lines = F.coalesce(F.length("source_code") - F.length(F.translate("source_code", "\n", "")) + 1, F.lit(0)).cast("long")
-    s = latest(g.table("symbols"), "id", "updated_at", "kind", F.coalesce("complexity", F.lit(0)).alias("complexity"), lines.alias("lines"))
-    t = references(g).select("id", "tests")
-    r = _in_out(g, s).where("kind IN ('class', 'function')").join(t, "id", "left")
+    s = referenced(g, F.col("kind"), F.coalesce("complexity", F.lit(0)).alias("complexity"), lines.alias("lines"))
+    t = test_counts(s).select("id", "tests")
+    r = _in_out(g, s.select("id", "kind", "complexity", "lines")).where("kind IN ('class', 'function')").join(t, "id", "left")
     return r.select("id", "callers", "callees", F.coalesce("tests", F.lit(0)).cast("long").alias("tests"), "complexity", "lines")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph, sql
@@ -179,9 +179,14 @@ r AS (SELECT x.id, t.file_path, NULL AS test_id FROM x JOIN (SELECT DISTINCT fil
 UNION SELECT x.id, t.file_path, t.id FROM x JOIN t ON contains(lower(t.name), lower(x.name)) OR contains(t.source_code, x.name))""".replace("{p}", TEST_FILES)
 
 
-def references(g: Graph) -> DataFrame:
+def referenced(g: Graph, *more: Column) -> DataFrame:
+    """Current symbols, written, with what ``test_counts`` asks for and ``more``; only tests have their code."""
     code = F.when(F.col("file_path").rlike(TEST_FILES), F.col("source_code")).alias("source_code")
-    return test_counts(cut(latest(g.table("symbols"), "id", "updated_at", "name", "file_path", "exported", code), "referenced"))
+    return cut(latest(g.table("symbols"), "id", "updated_at", "name", "file_path", "exported", code, *more), "referenced")
+
+
+def references(g: Graph) -> DataFrame:
+    return test_counts(referenced(g))
 
 
 @query("join17_test_references", sql(_TESTS + " SELECT id, count(DISTINCT test_id) AS tests, count(DISTINCT file_path) AS files FROM r GROUP BY 1"))
